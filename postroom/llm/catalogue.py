@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .packing import op6_best_fit_packing
 from .token_counts import op3_token_counts
 
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op6_best_fit_packing": op6_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
