@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .line_dedup import OP2_SQL, op2_line_dedup
 from .packing import op6_best_fit_packing
 from .token_counts import op3_token_counts
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_token_counts": op3_token_counts,
     "op6_best_fit_packing": op6_best_fit_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL,
+}
