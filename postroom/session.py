@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Settings that change results, not only speed.
@@ -33,3 +38,20 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
     )
     spark.sparkContext.setLogLevel("ERROR")
     return pin(spark)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, for clusters where it isn't installed."""
+    context = spark.sparkContext
+    if getattr(context, "_postroom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory() as folder:
+        path = Path(folder) / "postroom.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+            for source in sorted(root.rglob("*.py")):
+                out.write(source, f"postroom/{source.relative_to(root)}")
+        kept = Path(tempfile.mkdtemp(prefix="postroom-")) / "postroom.zip"
+        shutil.move(path, kept)
+    context.addPyFile(str(kept))
+    context._postroom_shipped = True
