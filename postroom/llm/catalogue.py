@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .packing import op6_best_fit_packing
+from .quality import op10_quality_classifier
 from .token_counts import op3_token_counts
+from .toxicity import op7_toxicity
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_token_counts": op3_token_counts,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_toxicity": op7_toxicity,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
 #: Rows in an Arrow batch: whole texts travel in them, so a batch of long ones must still be small.
 ARROW_ROWS = 512
 
@@ -17,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows that one Arrow batch carries to a Python worker."""
+    """Bound the rows that one Arrow batch carries to a Python worker, and see that workers have this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
