@@ -3,13 +3,11 @@ from __future__ import annotations
 import random
 import zlib
 
-from pyspark.sql import types as T
-
 from postroom.llm.quality import classify_quality
-from postroom.llm.toxicity import classify_toxicity, reject_toxic, fit
+from postroom.llm.toxicity import classify_toxicity, fit, reject_toxic
 
-DOCS = T.StructType.fromDDL("doc_id bigint, text string, label string, held_out string, score string, lang string, source string")
-LABELS = T.StructType.fromDDL("doc_id bigint, quality int, toxic int, text string")
+DOCS = "doc_id bigint, text string, label string, held_out string, score string, lang string, source string"
+LABELS = "doc_id bigint, quality int, toxic int, text string"
 
 
 def tables(spark, n=600):
