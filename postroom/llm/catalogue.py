@@ -5,12 +5,14 @@ from __future__ import annotations
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .packing import op6_best_fit_packing
 from .quality import op10_quality_classifier
+from .quality_rules import op4_quality_rules
 from .token_counts import op3_token_counts
 from .toxicity import op7_toxicity
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_quality_rules": op4_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_toxicity": op7_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
