@@ -6,6 +6,7 @@ from .line_dedup import OP2_SQL, op2_line_dedup
 from .packing import op6_best_fit_packing
 from .quality import op10_quality_classifier
 from .quality_rules import op4_quality_rules
+from .simhash import op5_simhash_near_dedup
 from .token_counts import op3_token_counts
 from .toxicity import op7_toxicity
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_toxicity": op7_toxicity,
     "op10_quality_classifier": op10_quality_classifier,
