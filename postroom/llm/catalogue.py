@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .license_scan import op9_license_scan
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .packing import op6_best_fit_packing
 from .quality import op10_quality_classifier
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_toxicity": op7_toxicity,
+    "op9_license_scan": op9_license_scan,
     "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES: dict[str, str] = {
