@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op1_decontamination
 from .license_scan import op9_license_scan
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .packing import op6_best_fit_packing
@@ -12,6 +13,7 @@ from .token_counts import op3_token_counts
 from .toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
