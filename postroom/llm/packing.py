@@ -15,6 +15,7 @@ ranks are taken, so a second attempt sees the same rows. Only the listed columns
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
@@ -27,48 +28,71 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_batches, checkpointed, table
+from .token_counts import RankMerger
 
 CAPACITY, END_ID = 2048, 0
 #: Rows that share a length and are ranked by one task, about.
 BUCKET_ROWS = 100_000
 WORD = regex.compile(r"'(?:[stmd]|re|ve|ll)|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
-MEMO = 1_000_000
+#: Signs that str.split() takes for white space and the vocabulary's pattern does not.
+ODD_SPACE = regex.compile("[\x1c-\x1f]")
+#: Stretches between white space that a worker remembers, and the longest that is worth it.
+MEMO, MEMO_CHARS = 400_000, 32
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian bytes; the library encodes each distinct word once."""
+    """Ids of whole texts as little-endian bytes under a vocabulary of lower-case words.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    White space always ends a word, so a text is the chain of its stretches; each distinct
+    stretch is merged once, all new ones of a batch together in one ragged array.
+    """
 
-        self.library = Tokenizer.from_file(path)
-        specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.special = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
+    def __init__(self, path: str):
+        self.merger = RankMerger(path)
+        with open(path, encoding="utf-8") as f:
+            special = {t["content"]: t["id"] for t in json.load(f).get("added_tokens", [])}
+        self.special = {k: np.array([v], "<u4").tobytes() for k, v in special.items()}
+        self.special_re = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.memo: dict[str, bytes] = {}
 
-    def words(self, text: str) -> list[str]:
+    def stretches(self, text: str) -> list[str]:
+        """The text in normal form, cut at white space; special strings stand alone as they are."""
         out: list[str] = []
-        for k, part in enumerate(self.special.split(text) if self.special else [text]):
+        for k, part in enumerate(self.special_re.split(text) if self.special_re else [text]):
             if k % 2:
                 out.append(part)
-            elif part:
-                if not unicodedata.is_normalized("NFC", part):
-                    part = unicodedata.normalize("NFC", part)
-                out += WORD.findall(part.replace("Σ", "σ").lower())  # lower() alone makes a final sigma
+                continue
+            if not unicodedata.is_normalized("NFC", part):
+                part = unicodedata.normalize("NFC", part)
+            part = part.replace("Σ", "σ").lower()  # lower() alone makes a final sigma
+            out += WORD.findall(part) if ODD_SPACE.search(part) else part.split()
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [self.words(t) if t else [] for t in texts]
+        split = [self.stretches(t) if t else [] for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
+        self.memo.update(self.special)
         new = list(set().union(*split).difference(self.memo))
-        for word, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-            self.memo[word] = np.array(e.ids, "<u4").tobytes()
+        words, n = [], []
+        for x in new:
+            if x.isalpha():
+                words.append(x.encode("utf-8"))
+                n.append(1)
+            else:
+                own = [w.encode("utf-8") for w in WORD.findall(x)]
+                words += own
+                n.append(len(own))
+        seq, ids = self.merger.merge(words)
+        owner = np.repeat(np.arange(len(new)), n)[seq]
+        ends = (4 * np.searchsorted(owner, np.arange(len(new)), "right")).tolist()
+        flat = ids.astype("<u4").tobytes()
+        self.memo.update({x: flat[i:j] for x, i, j in zip(new, [0, *ends], ends, strict=False)})
         get = self.memo.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        for word in new:
-            if len(word) > 48:
-                del self.memo[word]
+        out = [b"".join(map(get, x)) for x in split]
+        for x in new:
+            if len(x) > MEMO_CHARS:
+                del self.memo[x]
         return out
 
 

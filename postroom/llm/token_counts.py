@@ -32,6 +32,8 @@ SPLIT = regex.compile(
 #: Pre-tokens remembered by a worker, and the longest that is worth it.
 MEMO, MEMO_CHARS = 1_000_000, 48
 NO_RANK = np.int64(1) << 40
+#: Ids of single bytes, with and without an end of word, are below this.
+SMALL = 512
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -58,31 +60,51 @@ class RankMerger:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        self.first = np.array([vocab[c] for _, c in sorted(byte_alphabet().items())], np.int64)
+        letters = [c for _, c in sorted(byte_alphabet().items())]
+        self.first = np.array([vocab[c] for c in letters], np.int64)
+        end = spec["model"].get("end_of_word_suffix")
+        self.last = np.array([vocab[c + end] for c in letters], np.int64) if end else self.first
+        side = np.arange(SMALL, dtype=np.int64)
+        self.small = self._rank(np.repeat(side, SMALL), np.tile(side, SMALL))
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.special_re = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.memo: dict[str, int] = {}
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; those of single bytes come from a table."""
+        out = np.empty(len(a), np.int64)
+        low = (a < SMALL) & (b < SMALL)
+        out[low] = self.small[a[low] * SMALL + b[low]]
+        out[~low] = self._rank(a[~low], b[~low])
+        return out
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * self.width + b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], NO_RANK)
 
     def count(self, words: list[bytes]) -> np.ndarray:
         """Symbols that survive in each word."""
+        return np.bincount(self.merge(words)[0], minlength=len(words))
+
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' numbers, ascending, and the ids of the symbols that survive in them."""
         sizes = np.array([len(w) for w in words], np.int64)
-        out = np.zeros(len(words), np.int64)
+        raw = np.frombuffer(b"".join(words), np.uint8)
         seq = np.repeat(np.arange(len(words)), sizes)
-        sym = self.first[np.frombuffer(b"".join(words), np.uint8)]
+        sym = self.first[raw]
+        ends = np.cumsum(sizes)[sizes > 0] - 1
+        sym[ends] = self.last[raw[ends]]
+        out: list[tuple[np.ndarray, np.ndarray]] = [(seq[:0], sym[:0])]
+        rank = np.full(len(sym), NO_RANK)
+        pair = np.flatnonzero(seq[1:] == seq[:-1])
+        rank[pair] = self.rank_of(sym[pair], sym[pair + 1])
         while len(sym):
-            rank = np.full(len(sym), NO_RANK)
             same = seq[1:] == seq[:-1]
-            rank[:-1][same] = self.rank_of(sym[:-1][same], sym[1:][same])
             starts = np.flatnonzero(np.r_[True, ~same])
             least = np.minimum.reduceat(rank, starts)
             counts = np.diff(np.r_[starts, len(sym)])
             done = least == NO_RANK
-            out[seq[starts[done]]] = counts[done]
             lowest = np.repeat(least, counts)
             hit = np.flatnonzero((rank == lowest) & (lowest < NO_RANK))
             if len(hit):  # a pair that overlaps itself merges from the left
@@ -90,10 +112,23 @@ class RankMerger:
                 since = np.arange(len(hit)) - np.maximum.accumulate(np.where(head, np.arange(len(hit)), 0))
                 hit = hit[since % 2 == 0]
             sym[hit] = self.merged[rank[hit]]
-            stay = np.repeat(~done, counts)
+            over = np.repeat(done, counts)
+            out.append((seq[over], sym[over]))
+            stay = ~over
             stay[hit + 1] = False
-            sym, seq = sym[stay], seq[stay]
-        return out
+            at = (np.cumsum(stay) - 1)[hit]
+            sym, seq, rank = sym[stay], seq[stay], rank[stay]
+            # Only pairs that a merged symbol is part of have another rank now.
+            near = np.zeros(len(sym), bool)
+            near[at] = near[at[at > 0] - 1] = True
+            moved = np.flatnonzero(near)
+            rank[moved] = NO_RANK
+            pair = moved[moved + 1 < len(sym)]
+            pair = pair[seq[pair] == seq[pair + 1]]
+            rank[pair] = self.rank_of(sym[pair], sym[pair + 1])
+        seq, sym = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.argsort(seq, kind="stable")
+        return seq[order], sym[order]
 
     def texts(self, texts: Iterable[str | None]) -> list[int]:
         """Tokens of each text."""
