@@ -9,6 +9,7 @@ from .packing import op6_best_fit_packing
 from .quality import op10_quality_classifier
 from .quality_rules import op4_quality_rules
 from .simhash import op5_simhash_near_dedup
+from .suffix_dedup import op8_suffix_dedup
 from .token_counts import op3_token_counts
 from .toxicity import op7_toxicity
 
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_toxicity": op7_toxicity,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_quality_classifier": op10_quality_classifier,
 }
