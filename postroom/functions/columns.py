@@ -66,12 +66,8 @@ def guid_bytes(text: Name) -> Column:
 def filetime(ticks: Name) -> Column:
     """Timestamp of 100-nanosecond ticks since 1601; null for 0 and beyond year 9999."""
     t = col(ticks).cast("long")
-    return F.when((t > 0) & (t < 2650467744000000000), F.timestamp_micros(F.floor(t / 10).cast("long") - 11644473600000000))
-
-
-def filetime_exact(ticks: Name) -> Column:
-    t = col(ticks)
-    return F.expr(f"timestamp_micros({t._jc.toString()} div 10 - 11644473600000000)")
+    micros = (t - F.pmod(t, F.lit(10).cast("long"))).cast("decimal(20,0)") / F.lit(10)
+    return F.when((t > 0) & (t < 2650467744000000000), F.timestamp_micros(micros.cast("long") - 11644473600000000))
 
 
 # -- property types and keys ---------------------------------------------------------------
