@@ -78,5 +78,7 @@ class PstSource(_Mail):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the formats known to a session, with their filters pushed down."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (EmlSource, MsgSource, PstSource):
         spark.dataSource.register(source)
