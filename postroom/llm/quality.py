@@ -60,6 +60,25 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
+def forward(factor: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The lower triangular ``factor`` divided out of each column of ``rows``.
+
+    Plain array steps, here and in ``gram``: threaded BLAS calls on long thin arrays stall
+    beside a JVM in one process.
+    """
+    out = np.array(rows, float)
+    for i in range(len(factor)):
+        for j in range(i):
+            out[i] -= factor[i, j] * out[j]
+        out[i] /= factor[i, i]
+    return out
+
+
+def gram(x: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """Sums of products of the columns of ``x``."""
+    return np.einsum("ni,nj->ij", x if weights is None else x * weights[:, None], x)
+
+
 @dataclass
 class Discriminant:
     low: np.ndarray
@@ -76,7 +95,7 @@ class Discriminant:
         z = (np.clip(x, self.low, self.high) - self.mean) / self.spread
         out = []
         for centre, factor in zip(self.centres, self.factors, strict=True):
-            y = np.linalg.solve(factor, (z - centre).T)
+            y = forward(factor, (z - centre).T)
             out.append(-0.5 * (y * y).sum(axis=0) - np.log(np.diag(factor)).sum())
         return out[1] - out[0]
 
@@ -89,9 +108,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50
     a = np.c_[x, np.ones(len(x))]
     w = np.zeros(a.shape[1])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, a.T @ (y - p) - ridge * w)
+        p = 1 / (1 + np.exp(-np.clip((a * w).sum(axis=1), -30, 30)))
+        h = gram(a, p * (1 - p)) + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, (a * (y - p)[:, None]).sum(axis=0) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -107,7 +126,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Discriminant | None:
     mean, spread = z.mean(axis=0), z.std(axis=0) + 1e-3
     z = (z - mean) / spread
     groups = [z[y == k] for k in (0, 1)]
-    covs = [np.cov(g.T) for g in groups]
+    covs = [gram(g - g.mean(axis=0)) / (len(g) - 1) for g in groups]
     pooled = sum(len(g) * c for g, c in zip(groups, covs, strict=True)) / len(z)
     factors = []
     for c in covs:

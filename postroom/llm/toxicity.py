@@ -93,7 +93,7 @@ class Model:
     weights: np.ndarray
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip((x - self.mean) / self.spread @ self.weights[:-1] + self.weights[-1], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(((x - self.mean) / self.spread * self.weights[:-1]).sum(axis=1) + self.weights[-1], -30, 30)))
 
 
 def marking_grams(sample: DataFrame) -> list[str]:
