@@ -172,6 +172,20 @@ def links(distinct: DataFrame) -> DataFrame:
     return rows.repartition(n, "cell").sortWithinPartitions("cell", "visitor").mapInArrow(_compare, "a bigint, b bigint")
 
 
+def _spread(prints: DataFrame, ids: DataFrame) -> DataFrame:
+    """``prints`` with the component of their fingerprint.
+
+    A fingerprint with more than its share of the rows would fill a task. Those with a
+    quarter of a partition's share or more are at most four times as many as partitions,
+    so they are broadcast; the others meet by shuffle.
+    """
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = ids.agg(F.sum("n")).first()[0] or 0
+    crowded = F.broadcast(ids.filter(F.col("n") * 4 * parts >= total).select("fp", "component_id"))
+    rest = ids.filter(F.col("n") * 4 * parts < total).select("fp", "component_id")
+    return prints.join(crowded, "fp").unionByName(prints.join(crowded, "fp", "left_anti").join(rest, "fp"))
+
+
 def near_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fp, component_id`` for every row; written to the shared folder."""
     spark = docs.sparkSession
@@ -180,15 +194,15 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         prints = scratch.keep(fingerprints(docs, shingle))
         arrow_batches(spark, 65_536)
         # The smallest doc_id of a fingerprint is combined before it is shuffled.
-        distinct = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+        distinct = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
         roots = connected(links(distinct.select("fp")))
         arrow_batches(spark)
         joined = roots.withColumnRenamed("node", "fp").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
         joined = checkpointed(joined.join(distinct, "fp"))
         groups = joined.groupBy("root").agg(F.min("least").alias("component_id"))
         linked = joined.select("fp", "root").join(groups, "root").select("fp", "component_id")
-        ids = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-        return checkpointed(prints.join(ids, "fp").select("doc_id", "fp", "component_id"))
+        ids = distinct.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
+        return checkpointed(_spread(prints, scratch.keep(ids)).select("doc_id", "fp", "component_id"))
     finally:
         scratch.close()
 
