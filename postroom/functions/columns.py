@@ -14,7 +14,7 @@ def col(x: Name) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-# -- bytes ---------------------------------------------------------------------------------
+# -- bytes
 
 
 def le_uint(raw: Name, offset: int, size: int) -> Column:
@@ -70,7 +70,7 @@ def filetime(ticks: Name) -> Column:
     return F.when((t > 0) & (t < 2650467744000000000), F.timestamp_micros(micros.cast("long") - 11644473600000000))
 
 
-# -- property types and keys ---------------------------------------------------------------
+# -- property types and keys
 
 
 def base_type(code: Name) -> Column:
@@ -95,12 +95,13 @@ def key_text(code: Name, name: Name, label: Name | None = None) -> Column:
 
 def stream_key(name: Name) -> Column:
     """struct(code, type, index) of a property stream's name, null for other names."""
-    pattern = r"^__substg1\.0_([0-9A-Fa-f]{4})([0-9A-Fa-f]{4})(?:-([0-9A-Fa-f]{8}))?$"
+    digit = "[0-9A-Fa-f]"
+    pattern = rf"^__substg1\.0_({digit}{{4}})({digit}{{4}})(?:-({digit}{{8}}))?$"
     part = lambda k: F.conv(F.nullif(F.regexp_extract(col(name), pattern, k), F.lit("")), 16, 10).cast("int")
     return F.when(col(name).rlike(pattern), F.struct(part(1).alias("code"), part(2).alias("type"), part(3).alias("index")))
 
 
-# -- headers -------------------------------------------------------------------------------
+# -- headers
 
 
 def split_message(raw: Name) -> Column:
@@ -202,7 +203,7 @@ def quoted_printable_units(text: Name) -> Column:
     return F.array_join(F.transform(bytes_, lambda x: F.when(plain(x), F.unhex(x).cast("string")).otherwise(F.concat(F.lit("="), x))), "")
 
 
-# -- messages ------------------------------------------------------------------------------
+# -- messages
 
 
 def address(name: Name, email: Name) -> Column:
@@ -269,7 +270,7 @@ def boundary(seed: Name) -> Column:
     return F.concat(F.lit("----=_Part_"), F.substring(F.sha2(col(seed).cast("binary"), 256), 1, 24))
 
 
-# -- warnings and metrics ------------------------------------------------------------------
+# -- warnings and metrics
 
 
 def format_warning(code: Name, severity: Name, message: Name, context: Name) -> Column:

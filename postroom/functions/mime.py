@@ -18,8 +18,10 @@ import regex
 
 WARN = tuple[str, str, str, str | None, bool]  # code, severity, message, context, recoverable
 LINE, QP_LINE, BASE64_LINE = 76, 75, 76
-_WORD = re.compile(r"=\?([^?]+)\?([bBqQ])\?([^?]*)\?=")
-_GAP = re.compile(r"(=\?[^?]+\?[bBqQ]\?[^?]*\?=)\s+(?==\?[^?]+\?[bBqQ]\?[^?]*\?=)")
+_PART = "[^?]"
+_WORD = re.compile(rf"=\?({_PART}+)\?([QqBb])\?({_PART}*)\?=")
+_BARE = rf"=\?{_PART}+\?[QqBb]\?{_PART}*\?="
+_GAP = re.compile(rf"({_BARE})\s+(?={_BARE})")
 
 
 def warning(code: str, message: str, context: str | None = None, severity: str = "warn", recoverable: bool = True) -> WARN:
@@ -133,7 +135,7 @@ def parse(raw: bytes | str) -> Mime:
     boundary = out.params.get("boundary", "")
     if not boundary:
         out.body = body
-        out.warnings.append(warning("multipart_missing_boundary", "multipart content-type missing boundary; treated as single-part body"))
+        out.warnings.append(warning("multipart_missing_boundary", "no boundary in a multipart content type; the body is taken whole"))
         return out
     inner, closed, rest = body.partition(f"--{boundary}--")
     out.epilogue = rest.lstrip("\r\n") if closed and rest.startswith("\r\n") else rest if closed else None

@@ -48,7 +48,7 @@ def documents_as_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "lang", "source", raw.alias("raw"))
 
 
-# -- MIME ----------------------------------------------------------------------------------
+# -- MIME
 
 
 @query("SELECT lang, count(*) AS mails, sum(octet_length(encode(text)))::BIGINT AS body_bytes, 0::BIGINT AS multiparts FROM documents GROUP BY lang")
@@ -143,7 +143,7 @@ def transfer_encoding_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "documents").groupBy("lang", c.transfer_encoding("text").alias("encoding")).agg(F.count("*").alias("n"))
 
 
-# -- recipients and headers ----------------------------------------------------------------
+# -- recipients and headers
 
 _ROLE = {"user": 1, "assistant": 2, "system": 0}
 
@@ -215,7 +215,7 @@ def message_header_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("o_orderkey", c.get_header("h", "subject").alias("subject"), c.get_header("h", "from").alias("sender"), c.get_header("h", "date").alias("date_header"), F.size("h").alias("n_headers"))
 
 
-# -- typed values and keys -----------------------------------------------------------------
+# -- typed values and keys
 
 
 @query("SELECT l_returnflag, count(*) AS n, sum(l_orderkey)::BIGINT AS sum_long, sum(l_linenumber)::BIGINT AS sum_short, count(*) FILTER (WHERE l_linenumber % 2 = 1) AS n_true FROM lineitem GROUP BY 1")
@@ -309,7 +309,7 @@ def substg_name_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("o_orderkey", F.col("k.code").cast("long").alias("code"), F.col("k.type").cast("long").alias("type"), F.col("k.index").cast("long").alias("idx"))
 
 
-# -- hierarchies ---------------------------------------------------------------------------
+# -- hierarchies
 
 
 def _folders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,7 +362,7 @@ def pst_detect_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "events").groupBy(c.item_type(kind, count, F.col("user_id") % 3 == 0).alias("type")).agg(F.count("*").alias("n"))
 
 
-# -- attachments ---------------------------------------------------------------------------
+# -- attachments
 
 _EXT = ["pdf", "TXT", "jpeg", "docx", "bin", ""]
 
@@ -382,7 +382,7 @@ def attachment_inline_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert.attachment_layout(a, ["l_orderkey"]).drop("outer_type")
 
 
-# -- warnings and gates --------------------------------------------------------------------
+# -- warnings and gates
 
 
 def _warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -476,7 +476,7 @@ def snapshot_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.snapshot(m, none, none, ["doc_id"]).drop("first_recipient_email", "body_preview")
 
 
-# -- binary containers, written from the tables and read back ------------------------------
+# -- binary containers, written from the tables and read back
 
 
 def _msg_files(spark: SparkSession, sf_dir: str) -> DataFrame:

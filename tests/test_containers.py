@@ -10,7 +10,7 @@ from postroom.functions import cfb, dims, mapi, message, mime, pst, rtf
 from postroom.sources import synthetic as make
 
 
-# -- dictionaries and values ---------------------------------------------------------------
+# -- dictionaries and values
 
 
 def test_dictionaries():
@@ -69,7 +69,7 @@ def test_lookups():
     assert p.get("pr_smtp_address") == "low" and p.text("pr_subject") == "s" and p.symbolic()["pr_subject"] == b"s"
 
 
-# -- RTF -----------------------------------------------------------------------------------
+# -- RTF
 
 
 def test_decompression():
@@ -96,7 +96,7 @@ def test_text_in_rtf():
     assert rtf.to_text(rb"{\*\open never closed") == b"\\*never closed"
 
 
-# -- compound files and messages -----------------------------------------------------------
+# -- compound files and messages
 
 BIG = bytes(range(256)) * 40
 
@@ -193,7 +193,7 @@ def test_damage_becomes_warnings():
     assert [w[0] for w in bad.warnings] == ["property_parse_failed"] and bad.properties.values == {}
 
 
-# -- stores --------------------------------------------------------------------------------
+# -- stores
 
 ITEMS = [(0x21, 0, {0x3001: "Top", 0x3602: 3}), (0x42, 0x21, {0x3001: "Inbox", dims.TAG_CODES["pr_subfolders"]: True}), (0x64, 0x42, {0x001A: "IPM.Note", 0x0037: "Hello"}), (0x84, 0x42, {0x001A: "IPM.Task.x"}), (0x99, 0x777, {0x0037: "lost"})]
 
