@@ -14,7 +14,8 @@ goes on to the next level, and two levels of equal size merge into one of twice
 
 Stretches that recur whole need no text. Where different stretches share a leader (edges
 of a passage, edited copies), their bytes meet once at the leader's task, which compares
-the windows in them. Equal stretches are combined before anything is shuffled, so a
+the windows in them; a leader with more than ``CROWD`` of them has its windows counted by
+hash over the whole cluster instead. Equal stretches are combined before anything is shuffled, so a
 passage of a third of all rows sends one entry a batch of rows, not one a document.
 
 Defined results: null text is empty; texts shorter than ``length`` lose nothing; repeated
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow_batches, checkpointed, table
 
 LENGTH, GRAM, BATCHES = 200, 40, 2
+#: Different stretches with one leader that a task compares in memory; more go by their windows.
+CROWD = 10_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 ENTRY = "leader bigint, stretch bigint, rid bigint, start int, n int, state tinyint"
@@ -237,6 +240,22 @@ def _windows(length: int):
     return run
 
 
+def _hashed(length: int):
+    """The same places to (window hash, rid, start), a row for every window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                sums = prefix((text or "").encode("utf-8"))
+                n = np.array([p["n"] for p in places])
+                at = np.repeat([p["start"] for p in places], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                lead = np.repeat(np.array([p["leader"] for p in places], np.int64), n)
+                h = stretch_hash(sums, at, at + length) ^ mixed(lead.view(_U))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), r, np.int64)), pa.array(at.astype(np.int32))], ["h", "rid", "start"])
+
+    return run
+
+
 def _compare(length: int):
     """Windows of stretches with one leader that occur in more than one of them."""
 
@@ -310,14 +329,26 @@ class IndexFamily:
         for more in self.found[1:]:
             found = found.unionByName(more)
         compare = found.filter(F.col("what") == TO_COMPARE).select("leader", "rid", "start", "n").distinct()
-        places = compare.groupBy("rid").agg(F.collect_list(F.struct("leader", "start", "n")).alias("places"))
-        raw = docs.select("rid", "text").dropDuplicates(["rid"]).join(places, "rid").select("rid", "text", "places")
-        raw = raw.mapInArrow(_windows(self.length), "leader bigint, rid bigint, start int, raw binary")
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        crowded = compare.groupBy("leader").count().filter(F.col("count") > CROWD).select("leader")
+        crowded = checkpointed(crowded)
+        texts = docs.select("rid", "text").dropDuplicates(["rid"])
+
+        def with_text(entries: DataFrame) -> DataFrame:
+            places = entries.groupBy("rid").agg(F.collect_list(F.struct("leader", "start", "n")).alias("places"))
+            return texts.join(places, "rid").select("rid", "text", "places")
+
         arrow_batches(self.spark)
+        marks = found.filter(F.col("what") == TO_MARK).select("rid", "start", "n")
+        if not crowded.isEmpty():
+            rows = with_text(compare.join(crowded, "leader", "left_semi")).mapInArrow(_hashed(self.length), "h bigint, rid bigint, start int")
+            rows = self.scratch.keep(rows)
+            twice = rows.groupBy("h").count().filter("count > 1").select("h")
+            marks = marks.unionByName(rows.join(twice, "h", "left_semi").select("rid", "start", F.lit(1).alias("n")))
+            compare = compare.join(crowded, "leader", "left_anti")
+        raw = with_text(compare).mapInArrow(_windows(self.length), "leader bigint, rid bigint, start int, raw binary")
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         shared = raw.repartition(n, "leader").sortWithinPartitions("leader").mapInArrow(_compare(self.length), "rid bigint, start int, n int")
-        shared = self.scratch.keep(shared)
-        return found.filter(F.col("what") == TO_MARK).select("rid", "start", "n").unionByName(shared)
+        return marks.unionByName(self.scratch.keep(shared))
 
     def close(self) -> None:
         self.scratch.close()

@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from postroom.llm import suffix_dedup
 from postroom.llm.suffix_dedup import remove_repeats
 
 
@@ -43,8 +44,9 @@ def corpus(seed):
     return docs
 
 
-@pytest.mark.parametrize(("length", "gram", "batches"), [(60, 12, 1), (60, 12, 3), (200, 40, 2), (61, 30, 5)])
-def test_against_brute_force(spark, length, gram, batches):
+@pytest.mark.parametrize(("length", "gram", "batches", "crowd"), [(60, 12, 1, 10_000), (60, 12, 3, 2), (200, 40, 2, 10_000), (61, 30, 5, 4)])
+def test_against_brute_force(spark, monkeypatch, length, gram, batches, crowd):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     docs = corpus(batches)
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in docs], "doc_id bigint, text string, rid string, start int").repartition(5)
     got = remove_repeats(df, length, gram, batches, digest=True).collect()
