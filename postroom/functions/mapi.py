@@ -11,8 +11,8 @@ from . import dims
 EPOCH_GAP = 11_644_473_600
 #: Kinds whose value stands in the 8 bytes of an inline record.
 FIXED = {0x02, 0x03, 0x04, 0x05, 0x06, 0x07, 0x0A, 0x0B, 0x14, 0x40}
-_HEX = "[0-9A-Fa-f]"
-_NAME = re.compile(rf"^__substg1\.0_({_HEX}{{4}})({_HEX}{{4}})(?:-({_HEX}{{8}}))?$")
+#: Fixed pattern: the name of a property stream.
+_NAME = re.compile(r"^__substg1\.0_([0-9A-Fa-f]{4})([0-9A-Fa-f]{4})(?:-([0-9A-Fa-f]{8}))?$")
 Key = tuple[int | str, bytes]
 
 

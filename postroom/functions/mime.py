@@ -18,10 +18,9 @@ import regex
 
 WARN = tuple[str, str, str, str | None, bool]  # code, severity, message, context, recoverable
 LINE, QP_LINE, BASE64_LINE = 76, 75, 76
-_PART = "[^?]"
-_WORD = re.compile(rf"=\?({_PART}+)\?([QqBb])\?({_PART}*)\?=")
-_BARE = rf"=\?{_PART}+\?[QqBb]\?{_PART}*\?="
-_GAP = re.compile(rf"({_BARE})\s+(?={_BARE})")
+#: Fixed patterns: encoded words, and the white space between two.
+_WORD = re.compile(r"=\?([^?]+)\?([bBqQ])\?([^?]*)\?=")
+_GAP = re.compile(r"(=\?[^?]+\?[bBqQ]\?[^?]*\?=)\s+(?==\?[^?]+\?[bBqQ]\?[^?]*\?=)")
 
 
 def warning(code: str, message: str, context: str | None = None, severity: str = "warn", recoverable: bool = True) -> WARN:

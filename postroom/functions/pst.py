@@ -29,7 +29,6 @@ class Store:
     descriptors: dict[int, tuple[int, int, int]] = field(default_factory=dict)
     children: dict[int, list[int]] = field(default_factory=dict)
     warnings: list[WARN] = field(default_factory=list)
-    strict: bool = False
 
 
 def parse_header(raw: bytes) -> tuple[str, int, int, int]:
@@ -74,9 +73,9 @@ def _pages(raw: bytes, root: int, version: str, leaf: int, what: str, warnings:
         stack += reversed(below)
 
 
-def open_store(raw: bytes, strict: bool = False) -> Store:
+def open_store(raw: bytes) -> Store:
     version, enc, one, two = parse_header(raw)
-    s = Store(raw, version, enc, one, two, strict=strict)
+    s = Store(raw, version, enc, one, two)
     wide = version == "pst2003"
     for r in _pages(raw, one, version, 24 if wide else 12, "index", s.warnings):
         key, offset, size, u1 = struct.unpack_from("<QQHH" if wide else "<IIHH", r)
@@ -88,15 +87,17 @@ def open_store(raw: bytes, strict: bool = False) -> Store:
         s.warnings.append(warning("pst_index_parse_failed", "index tree is empty though its root is set", f"index_offset={one}"))
     if two and not s.descriptors:
         s.warnings.append(warning("pst_descriptor_parse_failed", "descriptor tree is empty though its root is set", f"descriptor_offset={two}"))
+    if enc == 1 and dims.SUBSTITUTION is None:
+        s.warnings.append(warning("pst_substitution_missing", "the store is encoded and no substitution was given; items have no properties"))
     for key, (_, _, parent) in s.descriptors.items():
         if parent and parent in s.descriptors:
             s.children.setdefault(parent, []).append(key)
     return s
 
 
-def decrypt(raw: bytes, method: int, strict: bool = False) -> bytes:
-    """Method 1 substitutes bytes; 0 and unknown methods leave them."""
-    return raw.translate(dims.STRICT if strict else dims.LOOSE) if method == 1 else raw
+def decrypt(raw: bytes, method: int) -> bytes:
+    """Method 1 substitutes bytes by the table in use; 0 and unknown methods leave them, as does method 1 without a table."""
+    return raw.translate(dims.SUBSTITUTION) if method == 1 and dims.SUBSTITUTION else raw
 
 
 def block(s: Store, idx: int) -> bytes | None:
@@ -109,7 +110,7 @@ def block(s: Store, idx: int) -> bytes | None:
 
 def associations(s: Store, idx2: int) -> dict[int, int]:
     """Id within the object -> index id; records of 16 bytes where the size allows it, else of 8."""
-    raw = decrypt(block(s, idx2) or b"", s.encryption, s.strict) if idx2 else b""
+    raw = decrypt(block(s, idx2) or b"", s.encryption) if idx2 else b""
     wide = len(raw) >= 16 and len(raw) % 16 == 0
     step, fmt = (16, "<QQ") if wide else (8, "<II")
     rows = (struct.unpack_from(fmt, raw, k) for k in range(0, len(raw) - step + 1, step))
@@ -122,7 +123,7 @@ def properties(s: Store, desc: int) -> mapi.Properties:
     raw = block(s, idx)
     if raw is None:
         return mapi.Properties()
-    raw, links = decrypt(raw, s.encryption, s.strict), associations(s, idx2)
+    raw, links = decrypt(raw, s.encryption), associations(s, idx2)
     if len(raw) < 4 or raw[0] not in (0xBC, 0x7C):
         return mapi.Properties()
     (end,) = struct.unpack_from("<H", raw, 2)
@@ -133,7 +134,7 @@ def properties(s: Store, desc: int) -> mapi.Properties:
         if at == 0 or at < len(raw) or at not in links:
             return None
         found = block(s, links[at])
-        return None if found is None else decrypt(found, s.encryption, s.strict)
+        return None if found is None else decrypt(found, s.encryption)
 
     values, kinds = {}, {}
     for k in range(4, end - 7, 8):

@@ -8,7 +8,7 @@ with ``strict_errors`` it fails the task.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime
 
 import pyarrow as pa
@@ -241,15 +241,20 @@ DECODERS: dict[tuple[str, str], Callable[[bytes], Rows]] = {
 }
 
 
-def decoded(files: DataFrame, kind: str, table: str, strict_errors: bool = False) -> DataFrame:
-    """Rows of ``table`` from ``files`` (file_id, content): file_id first, then the table's columns."""
+def decoded(files: DataFrame, kind: str, table: str, strict_errors: bool = False, tags: Iterable[tuple[int, str, str]] = (), substitution: bytes | None = None) -> DataFrame:
+    """Rows of ``table`` from ``files`` (file_id, content): file_id first, then the table's columns.
+
+    ``tags`` (code, name, kind) join the built-in ones; ``substitution`` decodes encoded stores.
+    """
     ship(files.sparkSession)
     decode = DECODERS[kind, table]
     id_kind = files.schema["file_id"].dataType
     schema = T.StructType([T.StructField("file_id", id_kind), *T.StructType.fromDDL(SCHEMAS[table]).fields])
     arrow, names = to_arrow_schema(schema), schema.fieldNames()
+    tags = list(tags)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dims.use(tags, substitution)
         for batch in batches:
             out: list[tuple] = []
             for file_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -6,14 +6,20 @@ tables come from constants of this package (a few hundred rows), so they are bro
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
 
 
-def dim_tags(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(c, n, k) for c, (n, k) in dims.TAGS.items()], "code int, name string, kind string")
+Tags = Iterable[tuple[int, str, str]]
+
+
+def dim_tags(spark: SparkSession, tags: Tags = ()) -> DataFrame:
+    """The built-in tags and those given; codes have 16 bits, so there are 65,536 rows at most."""
+    return spark.createDataFrame([(c, n, k) for c, (n, k) in dims.merged(tags).items()], "code int, name string, kind string")
 
 
 def dim_named(spark: SparkSession) -> DataFrame:
@@ -24,20 +30,20 @@ def dim_sets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(g, n) for n, g in dims.SETS.items()], "guid binary, label string")
 
 
-def tag_codes(spark: SparkSession) -> DataFrame:
+def tag_codes(spark: SparkSession, tags: Tags = ()) -> DataFrame:
     """The lowest code of each name."""
-    return dim_tags(spark).groupBy("name").agg(F.min("code").alias("code"))
+    return dim_tags(spark, tags).groupBy("name").agg(F.min("code").alias("code"))
 
 
-def with_names(props: DataFrame) -> DataFrame:
+def with_names(props: DataFrame, tags: Tags = ()) -> DataFrame:
     """``props`` (code, guid, ...) with ``name``, ``set_label`` and ``key_text``; unknown codes keep a null name."""
     spark = props.sparkSession
     standard = F.col("guid").isNull() | (F.col("guid") == F.lit(dims.PS_MAPI))
-    tags = dim_tags(spark).select(F.col("code").alias("t_code"), F.col("name").alias("t_name"))
+    standard_tags = dim_tags(spark, tags).select(F.col("code").alias("t_code"), F.col("name").alias("t_name"))
     named = dim_named(spark).select(F.col("code").alias("n_code"), F.col("guid").alias("n_guid"), F.col("name").alias("n_name"))
     sets = dim_sets(spark).select(F.col("guid").alias("s_guid"), F.col("label"))
     out = (
-        props.join(F.broadcast(tags), (F.col("code") == F.col("t_code")) & standard, "left")
+        props.join(F.broadcast(standard_tags), (F.col("code") == F.col("t_code")) & standard, "left")
         .join(F.broadcast(named), (F.col("code") == F.col("n_code")) & (F.col("guid") == F.col("n_guid")), "left")
         .join(F.broadcast(sets), F.col("guid") == F.col("s_guid"), "left")
     )
@@ -72,9 +78,9 @@ def truthy(value: Column, boolean: bool) -> Column:
     return value.isNotNull() & value if boolean else value.isNotNull()
 
 
-def get(props: DataFrame, by: list[str], name: str, value: str = "value", boolean: bool = False) -> DataFrame:
+def get(props: DataFrame, by: list[str], name: str, value: str = "value", boolean: bool = False, tags: Tags = ()) -> DataFrame:
     """The first value of that name, lowest code first; objects without one are absent."""
-    codes = [c for c, (n, _) in dims.TAGS.items() if n == name]
+    codes = [c for c, (n, _) in dims.merged(tags).items() if n == name]
     hit = props.filter(F.col("code").isin(codes) & truthy(F.col(value), boolean))
     return hit.groupBy(*by).agg(F.min_by(value, "code").alias(value))
 
@@ -84,11 +90,11 @@ def get_exact(props: DataFrame, code: int, guid: bytes, value: str = "value") ->
     return props.filter((F.col("code") == code) & (F.col("guid") == F.lit(guid)))
 
 
-def wide(props: DataFrame, by: list[str], names: dict[str, str]) -> DataFrame:
+def wide(props: DataFrame, by: list[str], names: dict[str, str], tags: Tags = ()) -> DataFrame:
     """One row an object with a column for each of ``names`` (column -> property name), in a single aggregation."""
-    cols = []
+    cols, known = [], dims.merged(tags)
     for column, name in names.items():
-        codes = [c for c, (n, _) in dims.TAGS.items() if n == name]
+        codes = [c for c, (n, _) in known.items() if n == name]
         cols.append(F.min_by(F.when(F.col("code").isin(codes), F.col("value")), F.when(F.col("code").isin(codes) & F.col("value").isNotNull(), F.col("code"))).alias(column))
     return props.groupBy(*by).agg(*cols)
 
@@ -98,7 +104,7 @@ def keep_lowest(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def property_map(props: DataFrame, by: list[str]) -> DataFrame:
+def property_map(props: DataFrame, by: list[str], tags: Tags = ()) -> DataFrame:
     """``props`` map<key_text, value> of each object; of equal keys the highest code counts."""
     pairs = F.array_sort(F.collect_list(F.struct("code", "key_text", "value")))
-    return with_names(props).groupBy(*by).agg(F.map_from_entries(F.transform(pairs, lambda x: F.struct(x["key_text"], x["value"]))).alias("props"))
+    return with_names(props, tags).groupBy(*by).agg(F.map_from_entries(F.transform(pairs, lambda x: F.struct(x["key_text"], x["value"]))).alias("props"))

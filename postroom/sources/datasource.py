@@ -1,7 +1,8 @@
 """Python data sources ``mail_eml``, ``mail_msg`` and ``mail_pst``.
 
 ``spark.read.format("mail_msg").option("table", "recipients").load(folder)`` for folders
-that every executor can open as files; ``sources.files`` reads everything else.
+that every executor can open as files; ``sources.files`` reads everything else. Option
+``tags`` has lines of code, name and kind, option ``substitution`` 512 hexadecimal digits.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
+from ..functions import dims
 from ..operators.decode import DECODERS, SCHEMAS
 from .files import GLOBS
 
@@ -22,8 +24,9 @@ class OneFile(InputPartition):
 
 
 class MailReader(DataSourceReader):
-    def __init__(self, kind: str, table: str, path: str):
+    def __init__(self, kind: str, table: str, path: str, tags: str = "", substitution: str = ""):
         self.kind, self.table, self.path, self.only = kind, table, path, None
+        self.tags, self.substitution = dims.entries(tags), bytes.fromhex(substitution) or None
 
     def pushFilters(self, filters):  # noqa: N802 - the interface's name
         """An equality on file_id picks its file before any is opened."""
@@ -40,6 +43,7 @@ class MailReader(DataSourceReader):
 
     def read(self, partition: OneFile) -> Iterator[tuple]:
         if partition.path:
+            dims.use(self.tags, self.substitution)
             try:
                 rows = list(DECODERS[self.kind, self.table](Path(partition.path).read_bytes()))
             except Exception:  # noqa: BLE001 - the ``warnings`` table says why
@@ -62,7 +66,7 @@ class _Mail(DataSource):
         return f"file_id string, {SCHEMAS[self.table]}"
 
     def reader(self, schema) -> MailReader:
-        return MailReader(self.kind, self.table, self.options["path"])
+        return MailReader(self.kind, self.table, self.options["path"], self.options.get("tags", ""), self.options.get("substitution", ""))
 
 
 class EmlSource(_Mail):

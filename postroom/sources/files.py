@@ -1,4 +1,7 @@
-"""Mail files as tables: batch readers over any folder Spark can read, and writers."""
+"""Mail files as tables: batch readers over any folder Spark can read, and writers.
+
+Readers pass ``tags`` and ``substitution`` on to ``decoded``.
+"""
 
 from __future__ import annotations
 
@@ -18,16 +21,16 @@ def scan(spark: SparkSession, path: str, pattern: str | None = None, recursive:
     return reader.load(path).select(F.col("path").alias("file_id"), "length", "content")
 
 
-def read_msg(spark: SparkSession, path: str, table: str = "messages", pattern: str = GLOBS["msg"], strict_errors: bool = False) -> DataFrame:
-    return decoded(scan(spark, path, pattern), "msg", table, strict_errors)
+def read_msg(spark: SparkSession, path: str, table: str = "messages", pattern: str = GLOBS["msg"], strict_errors: bool = False, **tables) -> DataFrame:
+    return decoded(scan(spark, path, pattern), "msg", table, strict_errors, **tables)
 
 
-def read_eml(spark: SparkSession, path: str, table: str = "mime_parts", pattern: str = GLOBS["eml"], strict_errors: bool = False) -> DataFrame:
-    return decoded(scan(spark, path, pattern), "eml", table, strict_errors)
+def read_eml(spark: SparkSession, path: str, table: str = "mime_parts", pattern: str = GLOBS["eml"], strict_errors: bool = False, **tables) -> DataFrame:
+    return decoded(scan(spark, path, pattern), "eml", table, strict_errors, **tables)
 
 
-def read_pst(spark: SparkSession, path: str, table: str = "pst_items", pattern: str = GLOBS["pst"], strict_errors: bool = False) -> DataFrame:
-    return decoded(scan(spark, path, pattern), "pst", table, strict_errors)
+def read_pst(spark: SparkSession, path: str, table: str = "pst_items", pattern: str = GLOBS["pst"], strict_errors: bool = False, **tables) -> DataFrame:
+    return decoded(scan(spark, path, pattern), "pst", table, strict_errors, **tables)
 
 
 def parse_eml(texts: DataFrame, id_col: str, text_col: str, table: str = "mime_parts") -> DataFrame:
@@ -35,11 +38,11 @@ def parse_eml(texts: DataFrame, id_col: str, text_col: str, table: str = "mime_p
     return decoded(texts.select(F.col(id_col).alias("file_id"), F.col(text_col).alias("content")), "eml", table)
 
 
-def all_warnings(spark: SparkSession, path: str) -> DataFrame:
+def all_warnings(spark: SparkSession, path: str, **tables) -> DataFrame:
     """Warnings of all mail files below ``path``, by extension; files that can't be read are ``parse_error`` rows."""
     out = None
     for kind, pattern in GLOBS.items():
-        one = decoded(scan(spark, path, pattern), kind, "warnings").withColumn("kind", F.lit(kind))
+        one = decoded(scan(spark, path, pattern), kind, "warnings", **tables).withColumn("kind", F.lit(kind))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -121,12 +121,9 @@ def packed_rtf(raw: bytes) -> bytes:
     return struct.pack("<4I", len(body) + 12, len(raw), PACKED, 0) + body
 
 
-def store_file(items: list[tuple[int, int, dict[int, object]]], encoded: bool = False) -> bytes:
-    """A small store of the older layout: (descriptor, parent, properties) with numbers and texts."""
-    from ..functions import dims
-
-    inverse = {v: k for k, v in reversed(list(enumerate(dims.LOOSE)))}
-    hide = (lambda b: bytes(inverse[x] for x in b)) if encoded else (lambda b: b)
+def store_file(items: list[tuple[int, int, dict[int, object]]], substitution: bytes | None = None) -> bytes:
+    """A small store of the older layout: (descriptor, parent, properties) with numbers and texts; encoded for a substitution if given."""
+    hide = (lambda b: bytes(map(substitution.index, b))) if substitution else (lambda b: b)
     blocks: dict[int, bytes] = {}
     descriptors = []
     number = 4
@@ -169,7 +166,7 @@ def store_file(items: list[tuple[int, int, dict[int, object]]], encoded: bool =
     for p in leaf_d:
         out += page(b"".join(struct.pack("<IIII", d, i, i2, up) for d, i, i2, up in p), len(p), 0)
     head = bytearray(1024)
-    head[:4], head[10], head[0x1CD] = b"!BDN", 0x0E, int(encoded)
+    head[:4], head[10], head[0x1CD] = b"!BDN", 0x0E, int(substitution is not None)
     struct.pack_into("<I", head, 0xA0, place(0))
     struct.pack_into("<I", head, 0xA8, place(1))
     return bytes(head) + out + data
