@@ -194,12 +194,11 @@ def decode_base64_word(value: Name) -> Column:
 
 
 def quoted_printable_units(text: Name) -> Column:
-    """Quoted-printable without soft line breaks."""
-    h = F.hex(F.encode(col(text), "UTF-8"))
-    bytes_ = F.filter(F.split(F.regexp_replace(h, "(..)", "$1,"), ","), lambda x: x != "")
-    code = lambda x: F.conv(x, 16, 10).cast("int")
-    plain = lambda x: ((code(x) >= 33) & (code(x) <= 126) & (x != "3D")) | x.isin("09", "20", "0D", "0A")
-    return F.array_join(F.transform(bytes_, lambda x: F.when(plain(x), F.unhex(x).cast("string")).otherwise(F.concat(F.lit("="), x))), "")
+    """Quoted-printable without soft line breaks: percent encoding with ``=`` for its sign, and what needn't be encoded put back."""
+    out = F.replace(F.replace(F.url_encode(col(text)), F.lit("+"), F.lit(" ")), F.lit("%"), F.lit("="))
+    for sign in "\t\r\n!\"#$%&'()+,/:;<>?@[\\]^`{|}~":
+        out = F.replace(out, F.lit(f"={ord(sign):02X}"), F.lit(sign))
+    return out
 
 
 # -- messages

@@ -160,16 +160,16 @@ def walk(mime: Mime, path: tuple[int, ...] = ()):
 
 def fold(name: str, value: str) -> str:
     """One header, folded where its line is longer than 76 graphemes."""
-    line, out = f"{name}: {value}", []
-    chars = regex.findall(r"\X", line)
-    while len(chars) > LINE:
-        cut = next((k + (chars[k] == ",") for k in range(LINE - 1, -1, -1) if chars[k] in (" ", ",")), 0)
-        left, chars = chars[: cut or LINE], chars[cut or LINE :]
-        out.append("".join(left))
-        if cut:
-            chars = regex.findall(r"\X", "".join(chars).lstrip())
-    if chars:
-        out.append("".join(chars))
+    chars, out, at = regex.findall(r"\X", f"{name}: {value}"), [], 0
+    while len(chars) - at > LINE:
+        cut = next((k + (chars[at + k] == ",") for k in range(LINE - 1, -1, -1) if chars[at + k] in (" ", ",")), 0)
+        out.append("".join(chars[at : at + (cut or LINE)]))
+        at += cut or LINE
+        while cut and at < len(chars) and chars[at][0].isspace():  # a mark may stand on a space: the mark stays
+            chars[at] = chars[at].lstrip()
+            at += not chars[at]
+    if at < len(chars):
+        out.append("".join(chars[at:]))
     return "\r\n ".join(out) + "\r\n"
 
 

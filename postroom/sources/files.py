@@ -33,9 +33,23 @@ def read_pst(spark: SparkSession, path: str, table: str = "pst_items", pattern:
     return decoded(scan(spark, path, pattern), "pst", table, strict_errors, **tables)
 
 
-def parse_eml(texts: DataFrame, id_col: str, text_col: str, table: str = "mime_parts") -> DataFrame:
+def _parse(files: DataFrame, id_col: str, content_col: str, kind: str, table: str, **tables) -> DataFrame:
+    return decoded(files.select(F.col(id_col).alias("file_id"), F.col(content_col).alias("content")), kind, table, **tables)
+
+
+def parse_eml(texts: DataFrame, id_col: str, text_col: str, table: str = "mime_parts", **tables) -> DataFrame:
     """The same tables from a column of raw messages."""
-    return decoded(texts.select(F.col(id_col).alias("file_id"), F.col(text_col).alias("content")), "eml", table)
+    return _parse(texts, id_col, text_col, "eml", table, **tables)
+
+
+def parse_msg(files: DataFrame, id_col: str, content_col: str, table: str = "messages", **tables) -> DataFrame:
+    """The same from a column of compound files' bytes."""
+    return _parse(files, id_col, content_col, "msg", table, **tables)
+
+
+def parse_pst(files: DataFrame, id_col: str, content_col: str, table: str = "pst_items", **tables) -> DataFrame:
+    """The same from a column of stores' bytes."""
+    return _parse(files, id_col, content_col, "pst", table, **tables)
 
 
 def all_warnings(spark: SparkSession, path: str, **tables) -> DataFrame:

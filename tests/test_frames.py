@@ -14,7 +14,7 @@ from postroom.plans import catalogue
 from postroom.sources import datasource, files
 from postroom.sources import synthetic as make
 from postroom.streaming import drop_folder
-from tests.test_containers import ITEMS, sample
+from tests.test_containers import ITEMS, SUBSTITUTION, sample
 
 SF = "/root/testdata/sf0.001"
 EML = 'From: a@x.org\r\nSubject: =?UTF-8?Q?=C3=A9?=\r\nContent-Type: multipart/mixed; boundary=q\r\n\r\n--q\r\n\r\none\r\n--q\r\nno colon\r\nA: 1\r\n\r\ntwo\r\n--q--\r\n'
@@ -61,6 +61,22 @@ def test_data_sources(spark, folder):
     assert spark.read.format("mail_msg").load(folder).filter(F.col("file_id") == f"{folder}/bad.msg").count() == 0
 
 
+def test_tables_as_parameters(spark, tmp_path):
+    (tmp_path / "coded.pst").write_bytes(make.store_file(ITEMS, SUBSTITUTION))
+    names = lambda df: {r.display_name for r in df.collect()}
+    assert names(files.read_pst(spark, str(tmp_path))) == {""}
+    assert [r.code for r in files.read_pst(spark, str(tmp_path), "warnings").collect()] == ["pst_substitution_missing"]
+    assert names(files.read_pst(spark, str(tmp_path), substitution=SUBSTITUTION)) == {"Top", "Inbox", "Hello", ""}
+    datasource.register(spark)
+    source = spark.read.format("mail_pst").option("substitution", SUBSTITUTION.hex()).option("tags", "0037 topic tstring")
+    assert names(source.load(str(tmp_path))) == {"Top", "Inbox", ""}  # the subject goes by another name here
+    assert "pr_topic" in {r.sym for r in source.option("table", "props").load(str(tmp_path)).collect()}
+    raw = spark.createDataFrame([(1, sample())], "k int, bytes binary")
+    assert files.parse_msg(raw, "k", "bytes").filter("obj_path = '/'").first().subject == "Grüße"
+    store = spark.createDataFrame([(2, make.store_file(ITEMS, SUBSTITUTION))], "k int, bytes binary")
+    assert files.parse_pst(store, "k", "bytes", "props", substitution=SUBSTITUTION, tags=[(0x0037, "topic", "tstring")]).filter("sym = 'pr_topic'").first().s == "Hello"
+
+
 def test_stream(spark, folder, tmp_path):
     rows = drop_folder.arriving(spark, folder, "eml", "mime_parts")
     for _ in range(2):
@@ -78,7 +94,7 @@ def test_writers(spark, folder, tmp_path):
 
 
 def test_native_columns_agree_with_the_decoders(spark):
-    values = ["plain", "käse", "漢字 x", "", "a=b\tc"]
+    values = ["plain", "käse", "漢字 x", "", "a=b\tc", "".join(map(chr, range(1, 300))), "%3D=3D+ %2B\r\n"]
     df = spark.createDataFrame([(v,) for v in values], "v string")
     got = df.select("v", c.encode_header("v").alias("h"), c.quoted_printable_units("v").alias("q"), c.base64_lines(F.encode(F.repeat("v", 40), "UTF-8")).alias("b"), c.decode_base64_word(c.encode_header("v")).alias("d")).collect()
     for r in got:
