@@ -15,8 +15,11 @@ goes on to the next level, and two levels of equal size merge into one of twice
 Stretches that recur whole need no text. Where different stretches share a leader (edges
 of a passage, edited copies), their bytes meet once at the leader's task, which compares
 the windows in them; a leader with more than ``CROWD`` of them has its windows counted by
-hash over the whole cluster instead. Equal stretches are combined before anything is shuffled, so a
-passage of a third of all rows sends one entry a batch of rows, not one a document.
+hash over the whole cluster instead. Equal stretches are combined before anything is
+shuffled, so a passage of a third of all rows sends one entry a batch of rows, not one a
+document. Where it stands between different neighbours, its edges are different stretches:
+two a leader and batch go to the leader's task, which is enough to tell that they differ,
+the others are dealt out by row and go straight to the comparison.
 
 Defined results: null text is empty; texts shorter than ``length`` lose nothing; repeated
 rows are copies of each other and lose what they share; rows are told apart by a 64-bit
@@ -42,8 +45,10 @@ CROWD = 10_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 ENTRY = "leader bigint, stretch bigint, rid bigint, start int, n int, state tinyint"
-#: States of an entry: seen once so far, known to recur (and marked), mark only; ``OLD`` more for entries of a level.
-ONCE, AGAIN, MARK, OLD = 0, 1, 2, 4
+#: States of an entry: seen once so far, known to recur (and marked), mark only, compare only; ``OLD`` more for entries of a level.
+ONCE, AGAIN, MARK, SENT, OLD = 0, 1, 2, 3, 4
+#: Different stretches of one leader that a batch of rows sends to the leader's task.
+WITNESSES = 2
 
 
 class _Powers:
@@ -152,7 +157,13 @@ def _entries(length: int, gram: int):
             both = np.flatnonzero(state == AGAIN)
             mark = np.r_[both, np.flatnonzero(state == MARK)]
             keep = np.flatnonzero(new)
+            at = np.arange(len(keep))
+            top = np.r_[True, leader[keep][1:] != leader[keep][:-1]][: len(keep)]
+            rank = at - np.maximum.accumulate(np.where(top, at, 0))
+            # Leaders with more stretches than witnesses: the rest is dealt by row, the leader in place of the stretch.
+            sent, keep = keep[rank >= WITNESSES], keep[rank < WITNESSES]
             yield _batch(leader[keep], stretch[keep], rid[keep], start[keep], n[keep], state[keep])
+            yield _batch(mixed(rid[sent].view(_U) ^ start[sent].astype(_U)), leader[sent], rid[sent], start[sent], n[sent], np.full(len(sent), SENT))
             yield _batch(mixed(rid[mark].view(_U)), stretch[mark], rid[mark], start[mark], n[mark], np.full(len(mark), MARK))
 
     return run
@@ -198,10 +209,12 @@ def _scan(keep_level: bool):
             for k, name in enumerate(("leader", "stretch", "rid", "start", "n", "state")):
                 col = batch.column(k).to_numpy()
                 rows[name] = col.view(_U) if k < 2 else col
-            marks = rows["state"] == MARK
-            if marks.any():
+            marks, sent = rows["state"] == MARK, rows[rows["state"] == SENT]
+            if marks.any() or len(sent):
                 yield out(TO_MARK, rows[marks])
-                rows = rows[~marks]
+                rows = rows[~marks & (rows["state"] != SENT)]
+                sent["leader"] = sent["stretch"]
+                yield out(TO_COMPARE, sent)
             rows = np.r_[open_rows, rows]
             if not len(rows):
                 continue

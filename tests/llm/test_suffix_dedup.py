@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from postroom.llm import suffix_dedup
@@ -53,5 +54,33 @@ def test_against_brute_force(spark, monkeypatch, length, gram, batches, crowd):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute(docs, length)
 
 
+def framed(seed, n=300):
+    """One passage between neighbours that differ in every document."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passage = " ".join(word() for _ in range(45))
+    return [(k, " ".join(word() for _ in range(rng.randint(0, 40))) + passage + " ".join(word() for _ in range(rng.randint(0, 40)))) for k in range(n)]
+
+
+@pytest.mark.parametrize("crowd", [10_000, 50])
+def test_a_passage_between_many_neighbours(spark, monkeypatch, crowd):
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    docs = framed(crowd)
+    got = remove_repeats(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4), digest=True).collect()
+    want = brute(docs, 200)
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == want
+    assert all(removed >= 314 for _, _, removed, _, _ in want)
+
+
+def test_a_batch_sends_few_entries_to_one_leader():
+    docs = framed(7)
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in docs]), pa.array([t for _, t in docs])], ["rid", "text"])
+    rows = pa.Table.from_batches(suffix_dedup._entries(200, 40)([batch])).to_pylist()
+    own = Counter(r["leader"] for r in rows if r["state"] in (suffix_dedup.ONCE, suffix_dedup.AGAIN))
+    sent = Counter(r["stretch"] for r in rows if r["state"] == suffix_dedup.SENT)
+    assert max(own.values()) == suffix_dedup.WITNESSES and max(sent.values()) > 200 and set(sent) <= set(own)
+    assert max(Counter(r["leader"] for r in rows).values()) <= 20
+
+
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
