@@ -155,11 +155,11 @@ def _matcher(number: int, items: list[str], rate: float) -> Matcher:
 
 
 def blocks(benchmark: DataFrame) -> Iterator[DataFrame]:
-    """The items in blocks that hold ``BLOCK_CHARS`` characters or few more."""
+    """The items in blocks that hold ``BLOCK_CHARS`` characters or few more; copies of a text under other ids spread out."""
     total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-int(total) // BLOCK_CHARS)
     for k in range(n):
-        yield benchmark.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
+        yield benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
 
 
 def _collect(block: DataFrame) -> tuple[list, list[str]]:
