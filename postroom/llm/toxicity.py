@@ -4,7 +4,8 @@ Method: two zstandard dictionaries, one of toxic and one of ordinary text. Both
 same stretch of ordinary text; the toxic one has, before it, the word forms that mark the
 toxic class of the training rows. A text falls into windows of a few words; each window is
 compressed with either dictionary, and the bytes that the toxic one saves are the window's
-gain. The gains' maximum, means and counts go through a logistic calibration fitted on the
+gain. The end that both dictionaries share stands before every window, so that even a short
+one is compressed, not stored as it is, and the gain is that of its words alone. The gains' maximum, means and counts go through a logistic calibration fitted on the
 same training rows.
 
 The forms are found from character grams that toxic documents hold far more often than
@@ -39,7 +40,7 @@ from .quality import labelled, logistic
 SAMPLE = 8_000
 #: Grams that mark the toxic class, word forms that hold one, stretches of ordinary text.
 GRAMS, FORMS, PLAIN = 2_000, 600, 400
-WINDOW_WORDS, BASE_BYTES, FORM_BYTES = 8, 6_000, 6_000
+WINDOW_WORDS, LEAD_BYTES, BASE_BYTES, FORM_BYTES = 4, 48, 6_000, 6_000
 EDGE = ".,;:!?\"'()[]*#$%&|"
 N_FEATURES = 7
 
@@ -55,9 +56,9 @@ def grams(word: str) -> set[str]:
     return {w[i : i + n] for n in (4, 5, 6) for i in range(len(w) - n + 1)}
 
 
-def windows(text: str | None) -> list[bytes]:
+def windows(text: str | None, lead: bytes) -> list[bytes]:
     words = (text or "").lower().encode("utf-8").split()
-    return [b" " + b" ".join(words[i : i + WINDOW_WORDS]) + b" " for i in range(0, max(1, len(words)), WINDOW_WORDS)]
+    return [lead + b" " + b" ".join(words[i : i + WINDOW_WORDS]) + b" " for i in range(0, max(1, len(words)), WINDOW_WORDS)]
 
 
 def _compressor(content: bytes) -> zs.ZstdCompressor:
@@ -79,7 +80,7 @@ def features(text: str | None, plain: bytes, toxic: bytes) -> list[float]:
         _READY.clear()
         _READY[plain, toxic] = (_compressor(plain), _compressor(toxic + plain))
     a, b = _READY[plain, toxic]
-    g = np.array([len(a.compress(w)) - len(b.compress(w)) for w in windows(text)], float)
+    g = np.array([len(a.compress(w)) - len(b.compress(w)) for w in windows(text, plain[-LEAD_BYTES:])], float)
     g[::-1].sort()
     return [g[0], g[:3].mean(), g.mean(), math.log1p((g >= 2).sum()), math.log1p((g >= 4).sum()), (g >= 3).mean(), math.log(len(g))]
 
