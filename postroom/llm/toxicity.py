@@ -1,18 +1,20 @@
 """Toxicity scores by compression distance.
 
-Method: two zstandard dictionaries, one of toxic and one of ordinary text. Both end in the
-same stretch of ordinary text; the toxic one has, before it, the word forms that mark the
-toxic class of the training rows. A text falls into windows of a few words; each window is
-compressed with either dictionary, and the bytes that the toxic one saves are the window's
-gain. The end that both dictionaries share stands before every window, so that even a short
-one is compressed, not stored as it is, and the gain is that of its words alone. The gains' maximum, means and counts go through a logistic calibration fitted on the
-same training rows.
+Method: zstandard dictionaries, one of ordinary and two of toxic text. All end in the
+same stretch of ordinary text; the toxic ones have, before it, the word forms that mark the
+toxic class of the training rows: one those with the clearest marks, one those with any. A
+text falls into windows of a few words; each window is compressed with every dictionary,
+and the bytes that a toxic one saves are the window's gain. The end that the dictionaries
+share stands before every window, so that even a short one is compressed, not stored as it
+is, and the gain is that of its words alone. The gains' maximum, means and counts, by either
+toxic dictionary, go through a logistic calibration fitted on the same training rows, which
+weighs the weak marks against the clear ones.
 
 The forms are found from character grams that toxic documents hold far more often than
 ordinary ones (counts over the sample, combined on the executors), so inflected forms
 count too. Fit: at most ``SAMPLE`` labelled rows outside the held-out remainder, those
-with the smallest hash of doc_id; what reaches the driver are at most ``GRAMS`` grams,
-``FORMS`` word forms, ``PLAIN`` short stretches and a few numbers for each sampled row.
+with the smallest hash of doc_id; what reaches the driver are the sample's marking grams and the word forms
+that hold one, ``PLAIN`` short stretches and a few numbers for each sampled row.
 Labels, lang, source and doc_id are never inputs of a score.
 
 Null texts count as empty; an empty text is one empty window and gets a score like any
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,11 +40,13 @@ from .common import arrow_batches, checkpointed, table
 from .quality import labelled, logistic
 
 SAMPLE = 8_000
-#: Grams that mark the toxic class, word forms that hold one, stretches of ordinary text.
-GRAMS, FORMS, PLAIN = 2_000, 600, 400
-WINDOW_WORDS, LEAD_BYTES, BASE_BYTES, FORM_BYTES = 4, 48, 6_000, 6_000
+#: Stretches of ordinary text.
+PLAIN = 400
+#: Grams with this share of the best gram's clearness are clear marks, the others weak ones.
+CLEAR = 0.15
+WINDOW_WORDS, LEAD_BYTES, BASE_BYTES = 4, 48, 6_000
 EDGE = ".,;:!?\"'()[]*#$%&|"
-N_FEATURES = 7
+N_FEATURES = 13
 
 
 def forms(text: str | None) -> list[str]:
@@ -62,8 +66,9 @@ def windows(text: str | None, lead: bytes) -> list[bytes]:
 
 
 def _compressor(content: bytes) -> zs.ZstdCompressor:
+    log = max(14, (len(content) - 1).bit_length())
     how = zs.ZstdCompressionParameters(
-        compression_level=3, strategy=zs.STRATEGY_LAZY2, min_match=4, window_log=15, hash_log=14, chain_log=14, search_log=5,
+        compression_level=3, strategy=zs.STRATEGY_LAZY2, min_match=4, window_log=log + 1, hash_log=log, chain_log=log, search_log=5,
         write_content_size=False, write_dict_id=False, write_checksum=False,
     )
     d = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
@@ -71,23 +76,28 @@ def _compressor(content: bytes) -> zs.ZstdCompressor:
     return zs.ZstdCompressor(dict_data=d, compression_params=how)
 
 
-_READY: dict[tuple[bytes, bytes], tuple[zs.ZstdCompressor, zs.ZstdCompressor]] = {}
+_READY: dict[tuple[bytes, bytes, bytes], list[zs.ZstdCompressor]] = {}
 
 
-def features(text: str | None, plain: bytes, toxic: bytes) -> list[float]:
-    """What the gains of a text's windows look like."""
-    if (plain, toxic) not in _READY:
+def features(text: str | None, plain: bytes, clear: bytes, toxic: bytes) -> list[float]:
+    """What the gains of a text's windows look like, by the clear marks and by all."""
+    if (plain, clear, toxic) not in _READY:
         _READY.clear()
-        _READY[plain, toxic] = (_compressor(plain), _compressor(toxic + plain))
-    a, b = _READY[plain, toxic]
-    g = np.array([len(a.compress(w)) - len(b.compress(w)) for w in windows(text, plain[-LEAD_BYTES:])], float)
-    g[::-1].sort()
-    return [g[0], g[:3].mean(), g.mean(), math.log1p((g >= 2).sum()), math.log1p((g >= 4).sum()), (g >= 3).mean(), math.log(len(g))]
+        _READY[plain, clear, toxic] = [_compressor(x + plain) for x in (b"", clear, toxic)]
+    ordinary, *others = _READY[plain, clear, toxic]
+    parts = windows(text, plain[-LEAD_BYTES:])
+    sizes, out = np.array([len(ordinary.compress(w)) for w in parts], float), []
+    for c in others:
+        g = sizes - [len(c.compress(w)) for w in parts]
+        g[::-1].sort()
+        out += [g[0], g[:3].mean(), g.mean(), math.log1p((g >= 2).sum()), math.log1p((g >= 4).sum()), (g >= 3).mean()]
+    return [*out, math.log(len(parts))]
 
 
 @dataclass
 class Model:
     plain: bytes
+    clear: bytes
     toxic: bytes
     mean: np.ndarray
     spread: np.ndarray
@@ -97,8 +107,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(((x - self.mean) / self.spread * self.weights[:-1]).sum(axis=1) + self.weights[-1], -30, 30)))
 
 
-def marking_grams(sample: DataFrame) -> list[str]:
-    """Grams held by far more toxic than ordinary documents, the clearest first."""
+def marking_grams(sample: DataFrame) -> dict[str, bool]:
+    """Grams held by far more toxic than ordinary documents, the clearest first, and whether they are clear marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = (Counter(), Counter())
@@ -114,17 +124,17 @@ def marking_grams(sample: DataFrame) -> list[str]:
 
     sizes = sample.agg(F.count_if(F.col("label") == 0).alias("plain"), F.count_if(F.col("label") == 1).alias("toxic")).first()
     if not sizes["plain"] or not sizes["toxic"]:
-        return []
+        return {}
     counts = sample.mapInArrow(run, "gram string, plain bigint, toxic bigint").groupBy("gram").agg(F.sum("plain").alias("plain"), F.sum("toxic").alias("toxic"))
     expected = sizes["toxic"] * (F.col("plain") + 0.5) / (sizes["plain"] + 1)
     clear = (F.col("toxic") - expected) / F.sqrt(expected + 1)
     few = max(3, 0.01 * sizes["toxic"])
     rows = counts.filter((F.col("toxic") >= few) & (F.col("toxic") >= 8 * expected)).select("gram", clear.alias("z")).filter("z > 3.5")
-    rows = rows.orderBy(F.desc("z"), "gram").limit(GRAMS).collect()
-    return [r["gram"] for r in rows if r["z"] >= 0.15 * rows[0]["z"]]
+    rows = rows.orderBy(F.desc("z"), "gram").collect()
+    return {r["gram"]: r["z"] >= CLEAR * rows[0]["z"] for r in rows}
 
 
-def toxic_forms(sample: DataFrame, marks: list[str]) -> bytes:
+def toxic_forms(sample: DataFrame, marks: Iterable[str]) -> bytes:
     """The toxic dictionary's own part: forms with a marking gram, the commonest last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,15 +146,15 @@ def toxic_forms(sample: DataFrame, marks: list[str]) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array([w[:40] for w in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["form", "n"])
 
     found = sample.filter("label = 1").mapInArrow(run, "form string, n bigint").groupBy("form").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.desc("n"), "form").limit(FORMS).collect()
+    rows = found.orderBy(F.desc("n"), "form").collect()
     starts = sorted({m for m in marks if m[0] == " "})
-    return (" " + "  ".join([*starts, *(r["form"] for r in reversed(rows))]) + " ").encode("utf-8")[-FORM_BYTES:]
+    return (" " + "  ".join([*starts, *(r["form"] for r in reversed(rows))]) + " ").encode("utf-8")
 
 
-def feature_rows(rows: DataFrame, plain: bytes, toxic: bytes) -> tuple[np.ndarray, np.ndarray]:
+def feature_rows(rows: DataFrame, plain: bytes, clear: bytes, toxic: bytes) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t, plain, toxic) for t in batch.column(0).to_pylist()]
+            x = [features(t, plain, clear, toxic) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "label"])
 
     got = rows.mapInArrow(run, "x array<double>, label int").toArrow()
@@ -159,13 +169,13 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int, held: int, bound: int
     marks = marking_grams(sample)
     if not marks:
         return None
-    toxic = toxic_forms(sample, marks)
+    clear, toxic = toxic_forms(sample, [m for m, c in marks.items() if c]), toxic_forms(sample, marks)
     starts = sample.filter("label = 0").select(F.array_join(F.slice(F.split(F.lower("text"), r"\s+"), 1, 6), " ").alias("x"))
     starts = starts.select(F.substring("x", 1, 80).alias("x")).orderBy(F.xxhash64("x"), "x").limit(PLAIN).collect()
     plain = (" " + "  ".join(r["x"] for r in starts) + " ").encode("utf-8")[:BASE_BYTES]
-    x, y = feature_rows(sample, plain, toxic)
+    x, y = feature_rows(sample, plain, clear, toxic)
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
-    return Model(plain, toxic, mean, spread, logistic((x - mean) / spread, y, ridge=0.3))
+    return Model(plain, clear, toxic, mean, spread, logistic((x - mean) / spread, y, ridge=0.3))
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, modulus: int, held: int, threshold: float = 0.7) -> DataFrame:
@@ -175,7 +185,7 @@ def score_toxicity(docs: DataFrame, model: Model | None, modulus: int, held: int
         for batch in batches:
             texts = batch.column(2).to_pylist()
             if model and texts:
-                s = model.score(np.array([features(t, model.plain, model.toxic) for t in texts]))
+                s = model.score(np.array([features(t, model.plain, model.clear, model.toxic) for t in texts]))
             else:
                 s = np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays(
@@ -196,7 +206,7 @@ def reject_toxic(docs: DataFrame, model: Model | None, threshold: float = 0.7) -
         for batch in batches:
             texts = batch.column(at).to_pylist()
             if model and texts:
-                s = model.score(np.array([features(t, model.plain, model.toxic) for t in texts]))
+                s = model.score(np.array([features(t, model.plain, model.clear, model.toxic) for t in texts]))
                 batch = batch.filter(pa.array(s < threshold, pa.bool_()))
             yield batch
 

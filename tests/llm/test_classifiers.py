@@ -57,3 +57,21 @@ def test_empty_and_one_class(spark):
         assert f(docs.limit(0), labels).count() == 0
         assert {r.score for r in f(docs, labels.limit(0)).collect()} == {0.5}
         assert {r.predicted for r in f(docs, labels.filter(f"{name} = 1")).collect()} == {0}
+
+
+def test_toxic_marks_of_a_minority(spark):
+    """Marks of few documents count beside those of a language with many more."""
+    rng = random.Random(3)
+    docs, labels = [], []
+    for k in range(1200):
+        few, toxic = k % 20 == 1, int(k % 4 == 0 or k % 40 == 1)
+        words = [rng.choice(["colina", "viento", "piedra", "sombra", "camino"] if few else ["river", "stone", "light", "field", "winter"]) for _ in range(60)]
+        if toxic:
+            for at in rng.sample(range(60), 6):
+                words[at] = "bomentez" if few else rng.choice(["zorgface", "zorgling"])
+        docs.append((k, " ".join(words), "x", "y", "z", "en", "s"))
+        labels.append((k, None, toxic, ""))
+    rows = classify_toxicity(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).filter("held_out").collect()
+    rare = [r.predicted for r in rows if r.doc_id % 40 == 1]
+    assert len(rare) >= 5 and all(rare)
+    assert not [r.doc_id for r in rows if r.predicted and r.doc_id % 4 and r.doc_id % 40 != 1]
