@@ -47,7 +47,7 @@ def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     lines = docs.filter("doc_id is not null").select(
         "doc_id", F.xxhash64(body()).alias("text_hash"), F.posexplode(F.split(ascii_lower(body()), "\n", -1)).alias("pos", "line")
     )
-    key = F.expr(r"trim(BOTH ' \t\n\u000b\f\r' FROM line)")
+    key = F.expr(r"trim(BOTH ' \t\n\u000b\u000c\r' FROM line)")
     keys = lines.select("doc_id", "text_hash", "pos", key.alias("key")).filter(F.length("key") >= min_chars)
     return keys.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "text_hash", "pos")
 

@@ -42,3 +42,12 @@ def test_against_brute_force(spark):
     got = dedup_lines(df).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256))
     assert sorted(map(tuple, got.collect()), key=str) == brute(docs)
     assert dedup_lines(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_letter_f_and_form_feed_at_the_ends(spark):
+    pool = ["for a test", "foo bar baz", "oo bar baz", "a line to cut off", "a line to cut o", "FOR A TEST", "\x0cfoo bar baz", "foo bar baz\x0c", "\x0b\x0c\r a line to cut off\t\x0c", "\x0cshort one"]
+    rng = random.Random(5)
+    docs = [(k, "\n".join(rng.sample(pool, 3))) for k in range(60)] + [(100 + k, line) for k, line in enumerate(pool)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = dedup_lines(df).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(docs)
