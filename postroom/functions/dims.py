@@ -1,7 +1,7 @@
 """Static dictionaries: property tags, named properties, property-set ids, media types.
 
-The standard tags that mail readers meet are built in. The published list is longer; rows of
-it, or of a vendor's own, join them as a parameter (``tags``), and the substitution that
+The standard tags that mail readers meet are built in. The published list is longer; the
+rest of it (``PUBLISHED``), or tags of a vendor's own, join them as a parameter (``tags``), and the substitution that
 decodes stores, a table of 256 bytes, is a parameter too (``substitution``).
 """
 
@@ -210,6 +210,94 @@ _TAGS = """
 6800 pst_password long
 """
 
+#: The rest of the published list, in the same form; ``PUBLISHED`` has them as ``tags``.
+_MORE_TAGS = """
+0001 acknowledgement_mode long
+0003 authorizing_users binary
+0005 auto_forwarded boolean
+0006 content_confidentiality_algorithm_id binary
+0007 content_correlator binary
+0008 content_identifier tstring
+0009 content_length long
+000A content_return_requested boolean
+000B conversation_key binary
+000C conversion_eits binary
+000D conversion_with_loss_prohibited boolean
+000E converted_eits binary
+0011 discard_reason long
+0012 disclosure_of_recipients boolean
+0013 dl_expansion_history binary
+0014 dl_expansion_prohibited boolean
+0016 implicit_conversion_prohibited boolean
+0018 ipm_id binary
+0019 latest_delivery_time systime
+001B message_delivery_id binary
+001E message_security_label binary
+001F obsoleted_ipms binary
+0020 originally_intended_recipient_name binary
+0021 original_eits binary
+0022 originator_certificate binary
+0024 originator_return_address binary
+0025 parent_key binary
+0027 origin_check binary
+0028 proof_of_delivery_requested boolean
+002B recipient_reassignment_prohibited boolean
+002C redirection_history binary
+002D related_ipms binary
+002E original_sensitivity long
+002F languages tstring
+0031 report_tag binary
+0032 report_disposition tstring
+0033 report_disposition_mode tstring
+0034 originator_non_delivery_report_requested boolean
+003A report_name tstring
+0053 received_by_entryid2 binary
+0054 received_by_name2 tstring
+0062 original_author_addrtype tstring
+0063 original_author_email_address tstring
+0065 reply_recipient_entries2 binary
+0070 conversation_topic2 tstring
+0071 conversation_index2 binary
+0072 original_display_bcc2 tstring
+0073 original_display_cc2 tstring
+0074 original_display_to2 tstring
+0075 received_by_addrtype2 tstring
+0076 received_by_email_address2 tstring
+0C06 non_receipt_notification_requested boolean
+0C1B supplementary_info tstring
+0E0F responsibility boolean
+0E28 primary_send_acct tstring
+0E29 next_send_acct tstring
+1014 body_html2 tstring
+3010 target_entryid binary
+35E5 views_entryid binary
+35E6 common_views_entryid binary
+35E7 finder_entryid binary
+3702 attach_encoding binary
+3709 attach_rendering binary
+370A attach_tag binary
+3A05 generation tstring
+3A0B keyword tstring
+3A0F mhs_common_name tstring
+3A10 organizational_id_number tstring
+3A12 original_entryid binary
+3A13 original_display_name tstring
+3A2D telex_number tstring
+3A2E isdn_number tstring
+3A48 spouse_name tstring
+3A57 company_main_phone_number tstring
+3A58 childrens_names tstring
+3D01 ab_default_dir binary
+5902 internet_content binary
+6000 recipient_trackstatus long
+6001 recipient_trackstatus_time systime
+6635 pst_hidden_count long
+6636 pst_hidden_unread long
+6638 folder_webviewinfo binary
+67F2 ltp_row_id long
+67F3 ltp_row_ver long
+"""
+
 #: Property sets and their names.
 _SETS = """
 00020328-0000-0000-C000-000000000046 ps_mapi
@@ -376,6 +464,10 @@ def merged(more: Iterable[tuple[int, str, str]] = ()) -> dict[int, tuple[str, st
     return {c: (f"pr_{n}", f"pt_{k}") for c, (n, k) in sorted(rows.items())}
 
 
+#: Standard tags beyond those built in, for ``tags``; with them all 281 of the published list have names.
+PUBLISHED = tuple(entries(_MORE_TAGS))
+
+
 #: code -> (name, kind) of tags, name -> lowest code, and the 256 bytes that encoded stores are decoded by, as ``use`` set them in this process.
 TAGS = merged()
 TAG_CODES: dict[str, int] = {}

@@ -30,6 +30,16 @@ def test_dictionaries():
     assert dims.media_type("A.PDF") == "application/pdf" and dims.media_type("none") == dims.media_type(".pdf") == "application/octet-stream"
 
 
+def test_published_tags():
+    assert not {c for c, _, _ in dims.PUBLISHED} & set(dims.TAGS)
+    try:
+        dims.use(dims.PUBLISHED)
+        assert len(dims.TAGS) == 281 and [dims.key_text(c) for c in (0x0001, 0x3A2D, 0x6000)] == ["pr_acknowledgement_mode", "pr_telex_number", "pr_recipient_trackstatus"]
+        assert all(k in ("pt_binary", "pt_boolean", "pt_long", "pt_object", "pt_systime", "pt_tstring") for _, k in dims.TAGS.values())
+    finally:
+        dims.use()
+
+
 def test_more_tags_and_a_substitution():
     more = dims.entries("0001 acknowledgement_mode long\n0037 topic tstring")
     try:
