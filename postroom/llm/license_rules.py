@@ -126,4 +126,4 @@ def rules() -> list[tuple[str, int, str, str]]:
 
 
 #: A text without any of these matches no pattern.
-GATES = ("licen", "copyright", "gnu", "apache", "creative", "public", "permi", "redistribution", "cc ", "bsd", "gpl", "software", "advertising", "wtfpl", "sil ", "unlicense", "neither", "agpl", "mozilla", "eclipse", "boost")
+GATES = ("licen", "copyright", "gnu", "apache", "creative", "public", "permi", "redistribution", "cc ", "cc0", "bsd", "gpl", "software", "advertising", "wtfpl", "sil ", "unlicense", "neither", "agpl", "mozilla", "eclipse", "boost")
