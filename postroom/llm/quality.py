@@ -25,13 +25,15 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, table
+from .common import arrow_batches, checkpointed, table
 
 #: Most labelled rows that the fit uses.
 SAMPLE = 20_000
+#: Most bytes of texts that a fit reads.
+SAMPLE_BYTES = 256_000_000
 POOLED, DIAGONAL = 0.3, 0.05
 _KINDS = np.zeros((256, 6))
 for _k, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&|<>", b"!?", b".,;:'\"()-", bytes(range(128, 256)))):
@@ -140,20 +142,29 @@ def fit(x: np.ndarray, y: np.ndarray) -> Discriminant | None:
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, bound: int = SAMPLE) -> DataFrame:
-    """``text, label`` of at most ``bound`` labelled documents outside the held-out remainder."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, bound: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """``doc_id, text, label`` of at most ``bound`` labelled documents outside the held-out remainder.
+
+    One row a doc_id, that with the least text; in the order of the ids' hashes, as many
+    whole texts as hold ``most_bytes``.
+    """
     rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus != held
     ids = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & rest).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     # At most ``bound`` rows of two numbers: a broadcast is safe.
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "label")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    rows = checkpointed(rows.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.min("label").alias("label")))
+    # The running sum passes one task: at most ``bound`` rows, and the sort there holds no texts.
+    sizes = rows.select("doc_id", F.octet_length("text").alias("n"))
+    fits = sizes.select("doc_id", F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")).alias("upto")).filter(F.col("upto") <= most_bytes)
+    return rows.join(F.broadcast(fits.select("doc_id")), "doc_id", "left_semi")
 
 
 def sampled_statistics(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [statistics(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "label"])
+            x = [statistics(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("label")], ["x", "label"])
 
     got = rows.mapInArrow(run, "x array<double>, label int").toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, len(NAMES))

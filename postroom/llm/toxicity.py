@@ -1,36 +1,41 @@
 """Toxicity scores by compression distance.
 
-Method: zstandard dictionaries, one of ordinary and two of toxic text. All end in the
-same stretch of ordinary text; the toxic ones have, before it, the word forms that mark the
-toxic class of the training rows: one those with the clearest marks, one those with any. A
-text falls into windows of a few words; each window is compressed with every dictionary,
-and the bytes that a toxic one saves are the window's gain. The end that the dictionaries
-share stands before every window, so that even a short one is compressed, not stored as it
-is, and the gain is that of its words alone. The gains' maximum, means and counts, by either
-toxic dictionary, go through a logistic calibration fitted on the same training rows, which
-weighs the weak marks against the clear ones.
-
-The forms are found from character grams that toxic documents hold far more often than
-ordinary ones (counts over the sample, combined on the executors), so inflected forms
-count too. Fit: at most ``SAMPLE`` labelled rows outside the held-out remainder, those
-with the smallest hash of doc_id; what reaches the driver are the sample's marking grams and the word forms
-that hold one, ``PLAIN`` short stretches and a few numbers for each sampled row.
+Method: two zstandard dictionaries, trained apart by the library's own trainer, one on
+ordinary and one on toxic text. A text falls into windows of ``WINDOW_WORDS`` words; each
+is compressed with either dictionary, behind the dictionary's own last ``LEAD`` bytes (one
+match in both, so that even a short window is compressed, not stored as it is). The bytes
+that the toxic dictionary saves are the window's gain. Counts and shares of windows from
+gain thresholds of 1 to 8 up, the largest gains and their mean go through a logistic calibration.
+
+Toxic texts are mostly ordinary, so the toxic dictionary is trained in rounds: first on
+whole toxic texts, then on those of their windows whose gain says toxic: from the least
+threshold that ``CLEAR`` times the share of toxic texts' windows pass as of ordinary ones.
+A text never judges itself: toxic texts are in two halves by hash, and each half's windows
+are chosen, and its texts calibrated, with the other half's dictionary; the final one is
+trained on both. Where too few windows are chosen to train on, the rounds end. Every ``RESERVED``-th ordinary text stays out of the ordinary dictionary;
+thresholds and calibration are measured on those, at the classes' shares of the sample.
+
+Fit: at most ``SAMPLE`` labelled documents outside the held-out remainder, those with the
+smallest hash of doc_id, and of these as many as hold ``SAMPLE_BYTES``; whole texts, every
+window of them. The dictionaries of whole texts are trained in tasks, one for each class
+and half; to the driver come chosen windows of toxic texts and a few numbers for each row.
 Labels, lang, source and doc_id are never inputs of a score.
 
 Null texts count as empty; an empty text is one empty window and gets a score like any
-other. Null labels are ignored; of contradictory ones the larger counts. Without both
-classes every score is 0.5 (predicted 0). Repeated rows are scored once each; only the
-listed columns come out.
+other. Null labels are ignored; of contradictory ones the larger counts; of repeated rows
+of one doc_id the least text. Words longer than ``WORD_BYTES`` count as several. Without both
+classes, or with too little of one to train on, every score is 0.5 (predicted 0). Repeated
+rows are scored once each; only the listed columns come out.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard as zs
 from pyspark.sql import DataFrame, SparkSession
@@ -39,143 +44,194 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, checkpointed, table
 from .quality import labelled, logistic
 
-SAMPLE = 8_000
-#: Stretches of ordinary text.
-PLAIN = 400
-#: Grams with this share of the best gram's clearness are clear marks, the others weak ones.
-CLEAR = 0.15
-WINDOW_WORDS, LEAD_BYTES, BASE_BYTES = 4, 48, 6_000
-EDGE = ".,;:!?\"'()[]*#$%&|"
-N_FEATURES = 13
+SAMPLE, SAMPLE_BYTES = 8_000, 64_000_000
+WINDOW_WORDS, WORD_BYTES, LEAD = 2, 32, 12
+#: Bytes of a dictionary of ordinary text, of whole toxic texts, and of toxic windows.
+ORDINARY, WHOLE, TOXIC = 400_000, 60_000, 16_000
+ROUNDS, CLEAR = 3, 4
+#: Ordinary texts, one in so many by hash, that thresholds and calibration are measured on.
+RESERVED = 4
+#: A window that costs no more than this with the ordinary dictionary can gain nothing that counts.
+CHEAP = 6
+TOP = 12
+HALVES = ("even", "odd")
+OTHER = dict(zip(HALVES, HALVES[::-1], strict=True))
+
+
+def windows(text: str | None) -> list[bytes]:
+    """All windows of a text in lower case."""
+    words = (text or "").lower().encode("utf-8").split()
+    if any(len(w) > WORD_BYTES for w in words):
+        words = [w[i : i + WORD_BYTES] for w in words for i in range(0, len(w), WORD_BYTES)]
+    return [b" " + b" ".join(words[i : i + WINDOW_WORDS]) + b" " for i in range(0, max(1, len(words)), WINDOW_WORDS)]
 
 
-def forms(text: str | None) -> list[str]:
-    """Words in lower case without signs at their ends."""
-    return [w for x in (text or "").lower().split() if (w := x.strip(EDGE))]
+def shuffled(text: str) -> tuple[int, str]:
+    """Key of an order that is always the same but puts no like texts together; the trainer takes segments from all parts."""
+    return zlib.crc32(text.encode("utf-8")), text
 
 
-def grams(word: str) -> set[str]:
-    """Grams of 4 to 6 characters of the word between its marks of start and end."""
-    w = f" {word[:40]} "
-    return {w[i : i + n] for n in (4, 5, 6) for i in range(len(w) - n + 1)}
+def train(samples: list[bytes], size: int) -> bytes | None:
+    """A zstandard dictionary of at most ``size`` bytes; None where there is too little to train on."""
+    size = min(size, sum(map(len, samples)) // 2)
+    try:
+        return zs.train_dictionary(size, samples, k=256, d=8, f=20, accel=1, split_point=1.0, level=3).as_bytes()
+    except zs.ZstdError:
+        return None
 
 
-def windows(text: str | None, lead: bytes) -> list[bytes]:
-    words = (text or "").lower().encode("utf-8").split()
-    return [lead + b" " + b" ".join(words[i : i + WINDOW_WORDS]) + b" " for i in range(0, max(1, len(words)), WINDOW_WORDS)]
+class Coder:
+    """Compressed sizes of windows, less that of the lead alone."""
+
+    def __init__(self, dictionary: bytes):
+        how = zs.ZstdCompressionParameters.from_level(
+            19, window_log=21, hash_log=19, chain_log=20, min_match=3, write_content_size=False, write_dict_id=False, write_checksum=False
+        )
+        ready = zs.ZstdCompressionDict(dictionary)
+        ready.precompute_compress(compression_params=how)
+        self.compress = zs.ZstdCompressor(compression_params=how, dict_data=ready).compress
+        self.lead = dictionary[-LEAD:]
+        self.least = len(self.compress(self.lead))
+
+    def sizes(self, parts: list[bytes]) -> np.ndarray:
+        compress, lead = self.compress, self.lead
+        return np.array([len(compress(lead + w)) for w in parts], np.int64) - self.least
+
+
+_READY: dict[bytes, Coder] = {}
+
+
+def coder(dictionary: bytes) -> Coder:
+    if dictionary not in _READY:
+        while len(_READY) > 5:
+            _READY.pop(next(iter(_READY)))
+        _READY[dictionary] = Coder(dictionary)
+    return _READY[dictionary]
 
 
-def _compressor(content: bytes) -> zs.ZstdCompressor:
-    log = max(14, (len(content) - 1).bit_length())
-    how = zs.ZstdCompressionParameters(
-        compression_level=3, strategy=zs.STRATEGY_LAZY2, min_match=4, window_log=log + 1, hash_log=log, chain_log=log, search_log=5,
-        write_content_size=False, write_dict_id=False, write_checksum=False,
-    )
-    d = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
-    d.precompute_compress(compression_params=how)
-    return zs.ZstdCompressor(dict_data=d, compression_params=how)
+def gains(parts: list[bytes], ordinary: bytes, toxic: bytes) -> np.ndarray:
+    """Bytes that the toxic dictionary saves on each window, 0 where it saves none."""
+    own = coder(ordinary).sizes(parts)
+    dear = np.flatnonzero(own > CHEAP)
+    out = np.zeros(len(parts), np.int64)
+    out[dear] = own[dear] - coder(toxic).sizes([parts[i] for i in dear])
+    return np.maximum(out, 0)
 
 
-_READY: dict[tuple[bytes, bytes, bytes], list[zs.ZstdCompressor]] = {}
+def features(text: str | None, ordinary: bytes, toxic: bytes) -> list[float]:
+    g = np.sort(gains(windows(text), ordinary, toxic))[::-1]
+    over = np.searchsorted(-g, -np.arange(1, 9), "right")
+    return [g[0], g[:3].mean(), g[:8].mean(), g.mean(), *(over / len(g)), *np.log1p(over), np.log(len(g))]
 
 
-def features(text: str | None, plain: bytes, clear: bytes, toxic: bytes) -> list[float]:
-    """What the gains of a text's windows look like, by the clear marks and by all."""
-    if (plain, clear, toxic) not in _READY:
-        _READY.clear()
-        _READY[plain, clear, toxic] = [_compressor(x + plain) for x in (b"", clear, toxic)]
-    ordinary, *others = _READY[plain, clear, toxic]
-    parts = windows(text, plain[-LEAD_BYTES:])
-    sizes, out = np.array([len(ordinary.compress(w)) for w in parts], float), []
-    for c in others:
-        g = sizes - [len(c.compress(w)) for w in parts]
-        g[::-1].sort()
-        out += [g[0], g[:3].mean(), g.mean(), math.log1p((g >= 2).sum()), math.log1p((g >= 4).sum()), (g >= 3).mean()]
-    return [*out, math.log(len(parts))]
+N_FEATURES = 21
 
 
 @dataclass
 class Model:
-    plain: bytes
-    clear: bytes
+    ordinary: bytes
     toxic: bytes
     mean: np.ndarray
     spread: np.ndarray
     weights: np.ndarray
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        x = np.array([features(t, self.ordinary, self.toxic) for t in texts], float).reshape(-1, N_FEATURES)
         return 1 / (1 + np.exp(-np.clip(((x - self.mean) / self.spread * self.weights[:-1]).sum(axis=1) + self.weights[-1], -30, 30)))
 
 
-def marking_grams(sample: DataFrame) -> dict[str, bool]:
-    """Grams held by far more toxic than ordinary documents, the clearest first, and whether they are clear marks."""
+def whole_text_dictionaries(sample: DataFrame) -> dict[str, bytes | None]:
+    """By part of the sample: a dictionary of its whole texts, each trained in one task."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (Counter(), Counter())
-        for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held[y].update(set().union(*map(grams, set(forms(text)))))
-        for k in (0, 1):
-            if held[k]:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(held[k]), pa.string()), pa.array([c * (1 - k) for c in held[k].values()], pa.int64()), pa.array([c * k for c in held[k].values()], pa.int64())],
-                    ["gram", "plain", "toxic"],
-                )
-
-    sizes = sample.agg(F.count_if(F.col("label") == 0).alias("plain"), F.count_if(F.col("label") == 1).alias("toxic")).first()
-    if not sizes["plain"] or not sizes["toxic"]:
-        return {}
-    counts = sample.mapInArrow(run, "gram string, plain bigint, toxic bigint").groupBy("gram").agg(F.sum("plain").alias("plain"), F.sum("toxic").alias("toxic"))
-    expected = sizes["toxic"] * (F.col("plain") + 0.5) / (sizes["plain"] + 1)
-    clear = (F.col("toxic") - expected) / F.sqrt(expected + 1)
-    few = max(3, 0.01 * sizes["toxic"])
-    rows = counts.filter((F.col("toxic") >= few) & (F.col("toxic") >= 8 * expected)).select("gram", clear.alias("z")).filter("z > 3.5")
-    rows = rows.orderBy(F.desc("z"), "gram").collect()
-    return {r["gram"]: r["z"] >= CLEAR * rows[0]["z"] for r in rows}
-
-
-def toxic_forms(sample: DataFrame, marks: Iterable[str]) -> bytes:
-    """The toxic dictionary's own part: forms with a marking gram, the commonest last."""
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        parts = [w for t in sorted(rows["text"], key=shuffled) for w in windows(t)]
+        return pd.DataFrame({"part": [key[0]], "dictionary": [train(parts, ORDINARY if key[0] == "ordinary" else WHOLE)]})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, n = set(marks), Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                n.update(w for w in set(forms(text)) if not wanted.isdisjoint(grams(w)))
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([w[:40] for w in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["form", "n"])
+    toxic = sample.filter(F.col("part").isin(*HALVES)).select(F.explode(F.array("part", F.lit("toxic"))).alias("part"), "text")
+    rows = sample.select("part", "text").filter("part = 'ordinary'").unionByName(toxic).groupBy("part").applyInPandas(run, "part string, dictionary binary").collect()
+    return {r["part"]: r["dictionary"] and bytes(r["dictionary"]) for r in rows}
 
-    found = sample.filter("label = 1").mapInArrow(run, "form string, n bigint").groupBy("form").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.desc("n"), "form").collect()
-    starts = sorted({m for m in marks if m[0] == " "})
-    return (" " + "  ".join([*starts, *(r["form"] for r in reversed(rows))]) + " ").encode("utf-8")
 
+def chosen_windows(rows: DataFrame, ordinary: bytes, toxic: dict[str, bytes]) -> dict[str, list[bytes]]:
+    """Of each half's toxic texts the windows that the other half's dictionary finds toxic."""
 
-def feature_rows(rows: DataFrame, plain: bytes, clear: bytes, toxic: bytes) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t, plain, clear, toxic) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], ["x", "label"])
+            out: list[list] = [[], [], [], []]
+            for text, part in zip(batch.column("text").to_pylist(), batch.column("part").to_pylist(), strict=True):
+                parts = windows(text)
+                for half in HALVES if part == "reserved" else [part]:
+                    g = np.minimum(gains(parts, ordinary, toxic[OTHER[half]]), TOP)
+                    hot = np.flatnonzero(g) if part == half else []
+                    row = (half, np.bincount(g, minlength=TOP + 1).tolist(), [parts[i] for i in hot] if part == half else None, [int(g[i]) for i in hot])
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+            kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["half", "counts", "hot", "gain"])
+
+    got = rows.mapInArrow(run, "half string, counts array<bigint>, hot array<binary>, gain array<int>").collect()
+    chosen = {}
+    for half in HALVES:
+        own = [r for r in got if r["half"] == half and r["hot"] is not None]
+        other = [r for r in got if r["half"] == half and r["hot"] is None]
+        share = []
+        for side in (other, own):
+            over = np.cumsum(np.sum([r["counts"] for r in side] or [[0] * (TOP + 1)], axis=0)[::-1])[::-1]
+            share.append(over / max(1, over[0]))
+        least = next((k for k in range(1, TOP) if share[1][k] >= CLEAR * share[0][k]), TOP)
+        own.sort(key=lambda r: (zlib.crc32(b"".join(r["hot"])), r["hot"]))
+        chosen[half] = [bytes(w) for r in own for w, g in zip(r["hot"], r["gain"], strict=True) if g >= least]
+    return chosen
+
+
+def calibration_rows(rows: DataFrame, ordinary: bytes, toxic: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of toxic texts by the other half's dictionary, of reserved ordinary ones by both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = [], []
+            for text, part in zip(batch.column("text").to_pylist(), batch.column("part").to_pylist(), strict=True):
+                for half in HALVES if part == "reserved" else [part]:
+                    x.append(features(text, ordinary, toxic[OTHER[half]]))
+                    y.append(int(part != "reserved"))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], ["x", "label"])
 
     got = rows.mapInArrow(run, "x array<double>, label int").toArrow()
-    return np.array(got.column("x").to_pylist(), float).reshape(-1, N_FEATURES), got.column("label").to_numpy().astype(int)
+    x, y = np.array(got.column("x").to_pylist(), float).reshape(-1, N_FEATURES), got.column("label").to_numpy().astype(int)
+    order = np.lexsort((*x.T, y))  # sums in one order, however the rows arrive
+    return x[order], y[order]
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int, held: int, bound: int = SAMPLE) -> Model | None:
-    """None where the sample lacks a class or nothing marks the toxic one."""
-    arrow_batches(docs.sparkSession)
-    rows = labelled(docs, labels, "toxic", modulus, held, bound)
-    sample = checkpointed(rows.repartition(max(2, docs.sparkSession.sparkContext.defaultParallelism)))
-    marks = marking_grams(sample)
-    if not marks:
+    """None where the sample lacks a class or has too little of one."""
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    lots = F.pmod(F.xxhash64("text"), F.lit(2 * RESERVED))
+    half = F.when(lots % 2 == 0, HALVES[0]).otherwise(HALVES[1])
+    part = F.when(F.col("label") == 1, half).when(lots < 2, "reserved").otherwise("ordinary")
+    rows = labelled(docs, labels, "toxic", modulus, held, bound, SAMPLE_BYTES).select("text", part.alias("part"))
+    sample = checkpointed(rows.repartition(max(2, spark.sparkContext.defaultParallelism)))
+    trained = whole_text_dictionaries(sample)
+    ordinary, toxic = trained.get("ordinary"), {h: trained.get(h) for h in HALVES}
+    if ordinary is None or None in toxic.values():
+        return None
+    rows, final = sample.filter("part <> 'ordinary'"), trained["toxic"]
+    for _ in range(ROUNDS):
+        chosen = chosen_windows(rows, ordinary, toxic)
+        new = {h: train(c, TOXIC) for h, c in chosen.items()}
+        both = train([w for c in chosen.values() for w in c], TOXIC)
+        if both is None or None in new.values():
+            break
+        toxic, final = new, both
+    x, y = calibration_rows(rows, ordinary, toxic)
+    if len(set(y)) < 2:
         return None
-    clear, toxic = toxic_forms(sample, [m for m, c in marks.items() if c]), toxic_forms(sample, marks)
-    starts = sample.filter("label = 0").select(F.array_join(F.slice(F.split(F.lower("text"), r"\s+"), 1, 6), " ").alias("x"))
-    starts = starts.select(F.substring("x", 1, 80).alias("x")).orderBy(F.xxhash64("x"), "x").limit(PLAIN).collect()
-    plain = (" " + "  ".join(r["x"] for r in starts) + " ").encode("utf-8")[:BASE_BYTES]
-    x, y = feature_rows(sample, plain, clear, toxic)
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
-    return Model(plain, clear, toxic, mean, spread, logistic((x - mean) / spread, y, ridge=0.3))
+    weights = logistic((x - mean) / spread, y, ridge=1.0)
+    n = {r["part"]: r["count"] for r in sample.groupBy("part").count().collect()}
+    # To the classes' shares of the sample: each reserved text counts twice here, ordinary ones in all count once there.
+    weights[-1] += np.log(2 * n["reserved"] / (n["reserved"] + n["ordinary"]))
+    return Model(ordinary, final, mean, spread, weights)
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, modulus: int, held: int, threshold: float = 0.7) -> DataFrame:
@@ -185,7 +241,7 @@ def score_toxicity(docs: DataFrame, model: Model | None, modulus: int, held: int
         for batch in batches:
             texts = batch.column(2).to_pylist()
             if model and texts:
-                s = model.score(np.array([features(t, model.plain, model.clear, model.toxic) for t in texts]))
+                s = model.score(texts)
             else:
                 s = np.full(len(texts), 0.5)
             yield pa.RecordBatch.from_arrays(
@@ -206,7 +262,7 @@ def reject_toxic(docs: DataFrame, model: Model | None, threshold: float = 0.7) -
         for batch in batches:
             texts = batch.column(at).to_pylist()
             if model and texts:
-                s = model.score(np.array([features(t, model.plain, model.clear, model.toxic) for t in texts]))
+                s = model.score(texts)
                 batch = batch.filter(pa.array(s < threshold, pa.bool_()))
             yield batch
 

@@ -2,9 +2,14 @@ from __future__ import annotations
 
 import random
 import zlib
+from pathlib import Path
 
-from postroom.llm.quality import classify_quality
-from postroom.llm.toxicity import classify_toxicity, fit, reject_toxic
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from postroom.llm.quality import classify_quality, labelled
+from postroom.llm.toxicity import classify_toxicity, fit, reject_toxic, windows
 
 DOCS = "doc_id bigint, text string, label string, held_out string, score string, lang string, source string"
 LABELS = "doc_id bigint, quality int, toxic int, text string"
@@ -75,3 +80,35 @@ def test_toxic_marks_of_a_minority(spark):
     rare = [r.predicted for r in rows if r.doc_id % 40 == 1]
     assert len(rare) >= 5 and all(rare)
     assert not [r.doc_id for r in rows if r.predicted and r.doc_id % 4 and r.doc_id % 40 != 1]
+
+
+REAL = Path("/root/testdata/sf0.1")
+
+
+@pytest.mark.skipif(not REAL.exists(), reason="needs the synthetic tables")
+def test_toxicity_of_the_tables_held_out(spark):
+    docs, labels = (spark.read.parquet(f"{REAL}/{n}.parquet") for n in ("documents", "labels"))
+    rows = classify_toxicity(docs, labels).filter("held_out").join(labels.filter("toxic IS NOT NULL"), "doc_id")
+    rows = rows.select("toxic", "predicted", F.percent_rank().over(Window.orderBy("score")).alias("rank")).collect()
+    toxic, other = ([r for r in rows if r.toxic == k] for k in (1, 0))
+    assert len(toxic) > 100 and len(other) > 1000
+    assert sum(r.predicted for r in toxic) >= 0.4 * len(toxic)
+    assert sum(r.predicted for r in other) <= 0.02 * len(other)
+    assert sum(r["rank"] for r in toxic) / len(toxic) > sum(r["rank"] for r in other) / len(other) + 0.2
+
+
+def test_a_doc_id_of_many_rows_counts_once(spark):
+    docs, labels = tables(spark)
+    many = spark.range(10_000).select(F.lit(30).cast("bigint").alias("doc_id"), F.concat(F.lit("zz row "), F.col("id").cast("string")).alias("text"))
+    rows = labelled(docs.select("doc_id", "text").unionByName(many), labels, "toxic", 3, 1).collect()
+    assert len(rows) == len({r.doc_id for r in rows})
+    kept = labelled(docs, labels, "toxic", 3, 1, 50).collect()
+    assert len(kept) == 50 and {r.doc_id for r in kept} <= {r.doc_id for r in rows}
+    few = labelled(docs, labels, "toxic", 3, 1, 50, 4_000).collect()
+    assert sum(len(r.text) for r in few) <= 4_000 and 0 < len(few) < 50 and {r.doc_id for r in few} <= {r.doc_id for r in kept}
+
+
+def test_windows_hold_the_whole_text():
+    text = "Aa b" + "x" * 100 + " é ß\n\tend"
+    assert b"".join(b"".join(windows(text)).split()) == "".join(text.lower().split()).encode()
+    assert windows(None) == windows(" ") == [b"  "]
