@@ -4,7 +4,7 @@ Method: two zstandard dictionaries, trained apart by the library's own trainer,
 ordinary and one on toxic text. A text falls into windows of ``WINDOW_WORDS`` words; each
 is compressed with either dictionary, behind the dictionary's own last ``LEAD`` bytes (one
 match in both, so that even a short window is compressed, not stored as it is). The bytes
-that the toxic dictionary saves are the window's gain. Counts and shares of windows from
+that the toxic dictionary saves are the window's gain, unless it still needs over ``DEAR``. Counts and shares of windows from
 gain thresholds of 1 to 8 up, the largest gains and their mean go through a logistic calibration.
 
 Toxic texts are mostly ordinary, so the toxic dictionary is trained in rounds: first on
@@ -51,9 +51,11 @@ ORDINARY, WHOLE, TOXIC = 400_000, 60_000, 16_000
 ROUNDS, CLEAR = 3, 4
 #: Ordinary texts, one in so many by hash, that thresholds and calibration are measured on.
 RESERVED = 4
-#: A window that costs no more than this with the ordinary dictionary can gain nothing that counts.
-CHEAP = 6
+#: A window that costs more bytes than this with the toxic dictionary isn't toxic; its gain is 0.
+DEAR = 9
 TOP = 12
+#: Windows whose gains a worker remembers (some 100 bytes each).
+MEMORY = 500_000
 HALVES = ("even", "odd")
 OTHER = dict(zip(HALVES, HALVES[::-1], strict=True))
 
@@ -75,7 +77,7 @@ def train(samples: list[bytes], size: int) -> bytes | None:
     """A zstandard dictionary of at most ``size`` bytes; None where there is too little to train on."""
     size = min(size, sum(map(len, samples)) // 2)
     try:
-        return zs.train_dictionary(size, samples, k=256, d=8, f=20, accel=1, split_point=1.0, level=3).as_bytes()
+        return zs.train_dictionary(size, samples, k=128, d=8, f=20, accel=1, split_point=1.0, level=3).as_bytes()
     except zs.ZstdError:
         return None
 
@@ -84,8 +86,9 @@ class Coder:
     """Compressed sizes of windows, less that of the lead alone."""
 
     def __init__(self, dictionary: bytes):
+        log = max(13, (len(dictionary) - 1).bit_length())  # tables that fit the dictionary
         how = zs.ZstdCompressionParameters.from_level(
-            19, window_log=21, hash_log=19, chain_log=20, min_match=3, write_content_size=False, write_dict_id=False, write_checksum=False
+            18, window_log=21, hash_log=log - 1, chain_log=log, min_match=3, write_content_size=False, write_dict_id=False, write_checksum=False
         )
         ready = zs.ZstdCompressionDict(dictionary)
         ready.precompute_compress(compression_params=how)
@@ -109,13 +112,36 @@ def coder(dictionary: bytes) -> Coder:
     return _READY[dictionary]
 
 
+class Scale:
+    """Gains of windows by a pair of dictionaries; those of up to ``MEMORY`` windows are remembered."""
+
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        self.ordinary, self.toxic, self.known = coder(ordinary), coder(toxic), {}
+
+    def gains(self, parts: list[bytes]) -> np.ndarray:
+        """Bytes that the toxic dictionary saves on each window, 0 where it saves none."""
+        known = self.known
+        new = [w for w in dict.fromkeys(parts) if w not in known]
+        if len(known) + len(new) > MEMORY:
+            known.clear()
+            new = list(dict.fromkeys(parts))
+        cost = self.toxic.sizes(new)
+        near = np.flatnonzero(cost <= DEAR)
+        gain = np.zeros(len(new), np.int64)
+        gain[near] = self.ordinary.sizes([new[i] for i in near]) - cost[near]
+        known.update(zip(new, np.maximum(gain, 0).tolist(), strict=True))
+        return np.fromiter((known[w] for w in parts), np.int64, len(parts))
+
+
+_PAIRS: dict[tuple[bytes, bytes], Scale] = {}
+
+
 def gains(parts: list[bytes], ordinary: bytes, toxic: bytes) -> np.ndarray:
-    """Bytes that the toxic dictionary saves on each window, 0 where it saves none."""
-    own = coder(ordinary).sizes(parts)
-    dear = np.flatnonzero(own > CHEAP)
-    out = np.zeros(len(parts), np.int64)
-    out[dear] = own[dear] - coder(toxic).sizes([parts[i] for i in dear])
-    return np.maximum(out, 0)
+    if (ordinary, toxic) not in _PAIRS:
+        while len(_PAIRS) > 1:
+            _PAIRS.pop(next(iter(_PAIRS)))
+        _PAIRS[ordinary, toxic] = Scale(ordinary, toxic)
+    return _PAIRS[ordinary, toxic].gains(parts)
 
 
 def features(text: str | None, ordinary: bytes, toxic: bytes) -> list[float]:
