@@ -5,29 +5,53 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
 
-#: Rows in an Arrow batch: whole texts travel in them, so a batch of long ones must still be small.
-ARROW_ROWS = 512
+#: Rows and bytes in an Arrow batch: whole texts travel in them, so a batch of long ones must still be small.
+ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
+ROWS_SETTING, BYTES_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows that one Arrow batch carries to a Python worker, and see that workers have this package."""
+def arrow_batches(spark: SparkSession) -> None:
+    """Bound what one Arrow batch carries to a Python worker, and see that workers have this package.
+
+    The bounds stay: frames that are made under them may run much later.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set(ROWS_SETTING, str(ARROW_ROWS))
+    spark.conf.set(BYTES_SETTING, str(ARROW_BYTES))
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """``key`` set for what runs inside, and as before after it."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none (tests)."""
+    """The folder all executors share; a local one only where the session names none and is local itself (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="postroom-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
@@ -43,7 +67,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 class Scratch:
     """Parquet tables in the shared folder for the time of one computation.
 
-    ``keep(df)`` writes and rereads; ``close()`` deletes everything written.
+    ``keep(df)`` writes and rereads, and Spark deletes the shuffle files of the write when
+    it has ended; ``close()`` deletes everything written.
     """
 
     def __init__(self, spark: SparkSession):
@@ -54,7 +79,8 @@ class Scratch:
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        with setting(self.spark, CLEANUP_SETTING, "true"):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, upto: int | None = None) -> None:

@@ -18,7 +18,7 @@ SIGNATURES: dict[str, list[str]] = {
     "apache-1": ["apache licen[cs]e version 1 0", "spdx license identifier apache 1 0"],
     "apache": ["apache software licen[cs]e", "apache licen[cs]e"],
     "bsd-2": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "spdx license identifier bsd 2 clause", "bsd 2 clause(?: simplified)?", "simplified bsd licen[cs]e", "freebsd licen[cs]e", "2 clause bsd(?: licen[cs]e)?"],
-    "bsd-3": ["neither the name of \\w+(?: \\w+){0,6} nor the names of its contributors may be used to endorse or promote products", "spdx license identifier bsd 3 clause", "bsd 3 clause(?: new)?", "new bsd licen[cs]e", "modified bsd licen[cs]e", "revised bsd licen[cs]e", "3 clause bsd(?: licen[cs]e)?"],
+    "bsd-3": ["neither the name of [^ ]+(?: [^ ]+){0,20} nor the names of its contributors may be used to endorse or promote products", "spdx license identifier bsd 3 clause", "bsd 3 clause(?: new)?", "new bsd licen[cs]e", "modified bsd licen[cs]e", "revised bsd licen[cs]e", "3 clause bsd(?: licen[cs]e)?"],
     "bsd-4": ["all advertising materials mentioning features or use of this software must display", "spdx license identifier bsd 4 clause", "original bsd licen[cs]e", "4 clause bsd(?: licen[cs]e)?"],
     "bsd-0": ["spdx license identifier 0bsd", "zero clause bsd(?: licen[cs]e)?", "bsd zero clause licen[cs]e"],
     "bsd": ["(?:released|licensed|distributed|available) under (?:the )?(?:terms of the )?bsd licen[cs]e", "bsd style licen[cs]e", "bsd licen[cs]ed?"],
@@ -101,7 +101,7 @@ SIGNATURES: dict[str, list[str]] = {
     "beerware": ["beer ?ware licen[cs]e", "spdx license identifier beerware"],
     "mulan": ["mulan permissive software licen[cs]e(?: v2)?", "spdx license identifier mulanpsl 2 0"],
     "openrail": ["responsible ai licen[cs]e", "openrail(?: m)? licen[cs]e", "spdx license identifier openrail"],
-    "all-rights-reserved": ["copyright \\w+(?: \\w+){0,5} all rights reserved", "copyright all rights reserved"],
+    "all-rights-reserved": ["copyright [^ ]+(?: [^ ]+){0,20} all rights reserved", "copyright all rights reserved"],
 }
 
 _GROUP = re.compile(r"\((?:[^()]|\([^()]*\))*\)(?:[?*+]|\{[^}]*\})?")

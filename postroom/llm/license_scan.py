@@ -41,14 +41,13 @@ def _quoted(x: str) -> str:
 def detections(norm: str) -> Column:
     """Array of (start, minus end, minus priority, label) of every place of every rule."""
     known = ", ".join(f"struct({_quoted(a)} AS label, {b} AS priority, {_quoted(k)} AS kw, {_quoted(p)} AS p)" for a, b, k, p in rules())
+    # Each hit between two marks, which no word holds; a mark's place less the marks before it counts words.
+    marked = f"split(trim(regexp_replace({norm}, r.p, '\\u0001$0\\u0002')), ' +', -1)"
+    at = lambda mark: f"filter(transform(m, (t, i) -> CASE WHEN t = '\\u000{mark}' THEN cast(i AS bigint) END), i -> i IS NOT NULL)"
     places = f"""
-      aggregate(
-        zip_with(slice(split({norm}, r.p, -1), 1, size(regexp_extract_all({norm}, r.p, 0))), regexp_extract_all({norm}, r.p, 0),
-                 (gap, hit) -> struct({words_in('gap')} AS gap, {words_in('hit')} AS n)),
-        struct(0L AS at, cast(array() AS array<struct<start: bigint, till: bigint, rank: int, label: string>>) AS found),
-        (a, x) -> struct(a.at + x.gap + x.n AS at,
-                         concat(a.found, array(struct(a.at + x.gap AS start, -(a.at + x.gap + x.n) AS till, -r.priority AS rank, r.label AS label))) AS found),
-        a -> a.found)"""
+      flatten(transform(array({marked}), m ->
+        transform(zip_with({at(1)}, {at(2)}, (a, b) -> struct(a, b)),
+                  (x, k) -> struct(x.a - 2 * k AS start, -(x.b - 2 * k - 1) AS till, -r.priority AS rank, r.label AS label))))"""
     gate = " OR ".join(f"contains({norm}, {_quoted(g)})" for g in GATES)
     return F.expr(f"CASE WHEN {gate} THEN flatten(transform(filter(array({known}), r -> contains({norm}, r.kw)), r -> {places})) END")
 

@@ -11,7 +11,8 @@ it stays precise there; the rows it covers leave, and the next rule grows. The l
 one ordered CASE expression, so the verdict of a row is the first rule it meets, or keep.
 
 Fit: at most ``SAMPLE`` labelled rows, those with the smallest hash of doc_id; their
-statistics, a few numbers each, are all that reaches the driver. Null texts have no words
+statistics, a few numbers each, are all that reaches the driver; of rows with one doc_id,
+that with the least text. Null texts have no words
 and fail the base rules, like empty ones. Null labels are ignored; of contradictory ones
 the larger counts. Without labels of both classes the list is empty and the base rules
 decide alone. Repeated rows get the same verdict each; only the listed columns come out.
@@ -19,6 +20,7 @@ decide alone. Repeated rows get the same verdict each; only the listed columns c
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -161,8 +163,8 @@ def learn(x: np.ndarray, keep: np.ndarray, names: list[str]) -> list[list[Term]]
             break
         while len(rule) > 1 and _worth(rule[:-1], x[h], bad[h], names) >= _worth(rule, x[h], bad[h], names):
             rule = rule[:-1]
-        m = left & _covers(rule, x, names)
-        if (m & bad).sum() < LEAST_PRECISION * m.sum() or not m.any():
+        m = _covers(rule, x, names)
+        if (m & h & bad).sum() < LEAST_PRECISION * (m & h).sum() or not (m & h).any():
             break
         rules.append(rule)
         left &= ~m
@@ -181,10 +183,12 @@ def learn_rules(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> list
     ids = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("keep"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     # At most ``bound`` rows of two numbers: a broadcast is safe.
-    rows = with_statistics(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.min("keep").alias("keep"))
+    rows = with_statistics(rows)
     got = rows.select("doc_id", "keep", "base_failed", *(F.expr(sql).alias(name) for name, sql in FEATURES.items())).collect()
     got = [r for r in got if not r["base_failed"]]
-    got.sort(key=lambda r: (hash(r["doc_id"]) * 2654435761 % 2**32, r["doc_id"]))
+    got.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode("utf-8")), r["doc_id"]))
     names = list(FEATURES)
     x = np.array([[r[name] for name in names] for r in got], float).reshape(-1, len(names))
     return learn(x, np.array([r["keep"] for r in got], int), names)

@@ -3,13 +3,20 @@
 A document's 64-bit fingerprint is the bitwise majority of the XXH64 (seed 42) of its
 four-word shingles. Fingerprints that differ in at most four bits are linked.
 
-Method: anchor-point covering. The fingerprint falls into three blocks (21, 21 and 22
-bits); four differing bits leave at least one block with at most one. On a block the
-anchors are a covering code: a perfect Hamming code on 15 bits and every value of the
-rest, so no block is further than 1 from its home anchor. A fingerprint goes to its home
-as a resident, and to every anchor within covering radius plus threshold (2) as a visitor,
-14 to 22 of them. Two fingerprints whose blocks differ in at most one bit meet at the
-home of either, so residents against visitors, anchor by anchor, finds every link.
+Method: anchor-point covering. The fingerprint falls into blocks, of which some make a key:
+one of three blocks (21 bits), two of five (25), or three of six (31), every choice in
+turn. Four differing bits leave at least one key with at most one: of three blocks one, of
+five two, of six three hold at most one between them. On a key the anchors are a covering
+code: a perfect Hamming code on 15 or 31 bits and every value of the rest, so no key is
+further than 1 from its home anchor. A fingerprint goes to its home as a resident, and to
+every anchor within covering radius plus threshold (2) as a visitor. Two fingerprints whose
+keys differ in at most one bit meet at the home of either, so residents against visitors,
+anchor by anchor, finds every link.
+
+The layout follows from the number of different fingerprints (``LAYOUTS``), so that anchors
+grow with it: a home has at most about 250 residents on average up to 1.6e10 fingerprints,
+and work grows in proportion to their number but for the steps between layouts (45, 220 and
+340 visitor rows a fingerprint).
 
 Comparison streams: partitions are sorted by anchor with residents first; a task holds one
 anchor's residents (8 bytes each) and compares batches of visitors with them. Batches with
@@ -26,6 +33,7 @@ a row each; an empty table an empty result. Only the listed columns come out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +41,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_batches, checkpointed, table
+from .common import ROWS_SETTING, Scratch, arrow_batches, checkpointed, setting, table
 from .components import connected
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
-#: First bit and width of each block; the lowest ``CODE`` bits of a block carry the code.
-BLOCKS, CODE = ((0, 21), (21, 21), (42, 22)), 15
+#: Up to how many different fingerprints: blocks, blocks in a key, and the key's lowest bits that carry the code.
+LAYOUTS = ((2e7, 3, 1, 15), (5e8, 5, 2, 15), (float("inf"), 6, 3, 31))
 CROWD, PAIRS, LINKS = 20_000, 4_000_000, 50_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -73,40 +81,64 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
-def _syndrome(block: Column) -> Column:
-    """Of the code's 15 bits: 0 on the code, else the number of the bit that leads back to it."""
+def layout(n: float) -> tuple[int, int, int]:
+    """Blocks, blocks in a key and bits of the code for ``n`` different fingerprints."""
+    return next(rest for most, *rest in LAYOUTS if n <= most)
+
+
+def keys(blocks: int, chosen: int) -> list[list[tuple[int, int]]]:
+    """For every key the first bit and width of each of its blocks."""
+    ends = [64 * k // blocks for k in range(blocks + 1)]
+    parts = [(a, b - a) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return [list(c) for c in combinations(parts, chosen)]
+
+
+def _key(parts: list[tuple[int, int]]) -> Column:
+    out, at = F.lit(0).cast("long"), 0
+    for first, width in parts:
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1)), at))
+        at += width
+    return out
+
+
+def _syndrome(key: Column, code: int) -> Column:
+    """Of the code's bits: 0 on the code, else the number of the bit that leads back to it."""
     out = F.lit(0)
-    for j in range(4):
-        mask = sum(1 << (p - 1) for p in range(1, CODE + 1) if p >> j & 1)
-        out = out + F.bit_count(block.bitwiseAND(F.lit(mask))) % 2 * (1 << j)
+    for j in range(code.bit_length()):
+        mask = sum(1 << (p - 1) for p in range(1, code + 1) if p >> j & 1)
+        out = out + F.bit_count(key.bitwiseAND(F.lit(mask).cast("long"))) % 2 * (1 << j)
     return out.cast("int")
 
 
-def visitor_masks(width: int) -> list[list[int]]:
-    """By syndrome: what to XOR a block with to reach every anchor within two bits."""
-    free = [1 << p for p in range(CODE, width)]
+def visitor_masks(width: int, code: int) -> list[list[int]]:
+    """By syndrome: what to XOR a key with to reach every anchor within two bits."""
+    free = [1 << p for p in range(code, width)]
     pairs = [a | b for k, a in enumerate(free) for b in free[k + 1 :]]
     out = [[0, *free, *pairs]]
-    for s in range(1, CODE + 1):
+    for s in range(1, code + 1):
         near = [1 << (s - 1) | f for f in (0, *free)]
-        far = [1 << (a - 1) | 1 << (b - 1) for a in range(1, CODE + 1) for b in range(a + 1, CODE + 1) if a ^ b == s]
+        far = [1 << (a - 1) | 1 << (b - 1) for a in range(1, code + 1) for b in range(a + 1, code + 1) if a ^ b == s]
         out.append(near + far)
     return out
 
 
-def _anchors(distinct: DataFrame, resident: bool) -> DataFrame:
-    """``anchor, visitor, fp``: the homes, or all anchors in reach, of every fingerprint and block."""
+def _anchors(distinct: DataFrame, resident: bool, blocks: int, chosen: int, code: int) -> DataFrame:
+    """``anchor, visitor, fp``: the homes, or all anchors in reach, of every fingerprint and key."""
+    every = keys(blocks, chosen)
+    df = distinct.select("fp", F.array(*map(_key, every)).alias("keys"))
     parts = []
-    for k, (first, width) in enumerate(BLOCKS):
-        block = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
-        s = _syndrome(block)
+    for k, own in enumerate(every):
+        key, base = F.col("keys")[k], F.lit(k << 33)
+        s = _syndrome(key, code)
         if resident:
-            at = block.bitwiseXOR(F.when(s > 0, F.call_function("shiftleft", F.lit(1), s - 1)).otherwise(0))
+            home = key.bitwiseXOR(F.when(s > 0, F.call_function("shiftleft", F.lit(1).cast("long"), s - 1)).otherwise(F.lit(0).cast("long")))
+            parts.append(home + base)
         else:
-            masks = F.array(*(F.array(*map(F.lit, m)) for m in visitor_masks(width)))
-            at = F.explode(F.transform(F.element_at(masks, s + 1), block.bitwiseXOR))
-        parts.append(distinct.select(at.alias("at"), "fp").select((F.col("at") + (k << 24)).alias("anchor"), F.lit(int(not resident)).cast("tinyint").alias("visitor"), "fp"))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+            masks = F.array(*(F.array(*(F.lit(x).cast("long") for x in m)) for m in visitor_masks(sum(w for _, w in own), code)))
+            parts.append(F.transform(F.element_at(masks, s + 1), key.bitwiseXOR))
+            parts[-1] = F.transform(parts[-1], base.__add__)
+    at = F.array(*parts) if resident else F.flatten(F.array(*parts))
+    return df.select(F.explode(at).alias("anchor"), F.lit(int(not resident)).cast("tinyint").alias("visitor"), "fp")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +189,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(distinct: DataFrame) -> DataFrame:
     """Links between different fingerprints, enough of them to connect all that are linked."""
     spark = distinct.sparkSession
-    residents, visitors = _anchors(distinct, True), _anchors(distinct, False)
+    how = layout(distinct.count())
+    residents, visitors = _anchors(distinct, True, *how), _anchors(distinct, False, *how)
     crowded = residents.groupBy("anchor").count().filter(F.col("count") > CROWD)
     crowded = checkpointed(crowded.select("anchor", F.ceil(F.col("count") / CROWD).cast("int").alias("slices")))
     if crowded.isEmpty():
@@ -167,7 +200,7 @@ def links(distinct: DataFrame) -> DataFrame:
         r = residents.join(crowded, "anchor", "left").withColumn("slice", F.explode(F.sequence(F.lit(0), one - 1)))
         v = visitors.join(crowded, "anchor", "left").withColumn("slice", F.pmod(F.xxhash64("fp"), one).cast("int"))
         rows = r.drop("slices").unionByName(v.drop("slices"))
-    rows = rows.select((F.col("anchor") + F.shiftleft(F.col("slice").cast("long"), 28)).alias("cell"), "visitor", "fp")
+    rows = rows.select((F.col("anchor") + F.shiftleft(F.col("slice").cast("long"), 38)).alias("cell"), "visitor", "fp")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "cell").sortWithinPartitions("cell", "visitor").mapInArrow(_compare, "a bigint, b bigint")
 
@@ -192,11 +225,10 @@ def near_components(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     scratch = Scratch(spark)
     try:
         prints = scratch.keep(fingerprints(docs, shingle))
-        arrow_batches(spark, 65_536)
         # The smallest doc_id of a fingerprint is combined before it is shuffled.
         distinct = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-        roots = connected(links(distinct.select("fp")))
-        arrow_batches(spark)
+        with setting(spark, ROWS_SETTING, "65536"):  # rows of three numbers; all of it is written inside
+            roots = connected(links(distinct.select("fp")))
         joined = roots.withColumnRenamed("node", "fp").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
         joined = checkpointed(joined.join(distinct, "fp"))
         groups = joined.groupBy("root").agg(F.min("least").alias("component_id"))

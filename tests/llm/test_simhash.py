@@ -62,9 +62,36 @@ def test_documents(spark):
     assert near_components(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [20_000, 5])
-def test_links_are_complete(spark, crowd, monkeypatch):
+def test_layouts_bound_the_residents_of_an_anchor():
+    n = 10_000
+    while n <= 1.6e10:
+        blocks, chosen, code = simhash.layout(n)
+        for key in simhash.keys(blocks, chosen):
+            width = sum(w for _, w in key)
+            assert n / 2 ** (width - code.bit_length()) <= 250 and width <= 33
+        n *= 2
+
+
+@pytest.mark.parametrize("how", [(3, 1, 15), (5, 2, 15), (6, 3, 31)])
+def test_visitors_reach_every_near_anchor(how):
+    blocks, chosen, code = how
+    for key in simhash.keys(blocks, chosen)[:2]:
+        width = sum(w for _, w in key)
+        masks = simhash.visitor_masks(width, code)
+        rng = random.Random(0)
+        syndrome = lambda x: int(np.bitwise_xor.reduce([0] + [p for p in range(1, code + 1) if x >> (p - 1) & 1]))
+        home = lambda x: x ^ (1 << (s - 1) if (s := syndrome(x)) else 0)
+        for _ in range(50):
+            x = rng.getrandbits(width)
+            reach = {x ^ m for m in masks[syndrome(x)]}
+            assert home(x) in reach and all(home(x ^ 1 << b) in reach for b in range(width))
+
+
+@pytest.mark.parametrize(("crowd", "most"), [(20_000, 2e7), (5, 2e7), (20_000, 0), (3, 0), (20_000, -1)])
+def test_links_are_complete(spark, crowd, most, monkeypatch):
     monkeypatch.setattr(simhash, "CROWD", crowd)
+    if most < 2e7:  # the finer layouts
+        monkeypatch.setattr(simhash, "LAYOUTS", ((0, 3, 1, 15), *simhash.LAYOUTS[1:]) if most == 0 else ((0, 3, 1, 15), simhash.LAYOUTS[2]))
     monkeypatch.setattr(simhash, "LINKS", 50 if crowd == 5 else 50_000)
     rng = random.Random(2)
     fps = {0, 2**64 - 1}
