@@ -61,7 +61,8 @@ def shared_folder(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and cut its lineage; Spark removes it when unused."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with setting(df.sparkSession, CLEANUP_SETTING, "true"):
+        return df.checkpoint()
 
 
 class Scratch:

@@ -28,7 +28,6 @@ hash of doc_id and text; columns other than those read play no part.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -39,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_batches, checkpointed, table
 
-LENGTH, GRAM, BATCHES = 200, 40, 2
+LENGTH, GRAM, BATCHES = 200, 40, 4
 #: Different stretches with one leader that a task compares in memory; more go by their windows.
 CROWD = 10_000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -313,6 +312,7 @@ class IndexFamily:
         self.scratch = Scratch(spark)
         self.levels: list[tuple[int, DataFrame]] = []  # (batches in it, entries), largest first
         self.found: list[DataFrame] = []
+        self.merges = 0
 
     def _scanned(self, rows: DataFrame, keep_level: bool) -> DataFrame:
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -333,6 +333,7 @@ class IndexFamily:
         while self.levels and self.levels[-1][0] == size:  # equal sizes merge, as a counter carries
             n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
             both = self.levels.pop()[1].unionByName(level)
+            self.merges += 1
             size, level = 2 * size, self.scratch.keep(both.repartition(n, "leader").sortWithinPartitions("leader", "stretch"))
         self.levels.append((size, level))
 
@@ -369,7 +370,8 @@ class IndexFamily:
 
 def cut(docs: DataFrame, marks: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, text (what is left), n_bytes, n_removed, n_spans, kept_sha256 of ``docs`` (rid, doc_id, text)."""
-    places = marks.groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("places"))
+    # Copies of a row, and an entry found again by a later batch, mark the same places.
+    places = marks.distinct().groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("places"))
     both = docs.select("rid", "doc_id", "text").join(places, "rid", "left").select("doc_id", "text", "places")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -400,19 +402,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     try:
         for k in range(batches):
             family.add(own.filter(F.pmod(F.xxhash64("rid"), F.lit(batches)) == k), last=k == batches - 1)
-            _release(spark)
         out = cut(own, family.marks(own), length)
-        _release(spark)
         return checkpointed(out.drop("kept") if digest else out)
     finally:
         family.close()
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of finished scans now, not when the driver next runs short."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), digest=True)

@@ -84,3 +84,19 @@ def test_a_batch_sends_few_entries_to_one_leader():
 
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_the_query_merges_levels(spark, monkeypatch, tmp_path):
+    made = []
+
+    class Watched(suffix_dedup.IndexFamily):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self)
+
+    monkeypatch.setattr(suffix_dedup, "IndexFamily", Watched)
+    docs = corpus(11)
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = suffix_dedup.op8_suffix_dedup(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute(docs, 200)
+    assert made[0].merges == 1 and [size for size, _ in made[0].levels] == [2, 1]
