@@ -1,40 +1,47 @@
-"""Trees kept as parent links: walks, chains and reachability by recursive SQL."""
+"""Trees kept as parent links: walks, children and chains, of any size and depth.
 
-from __future__ import annotations
+Walks and chains double the stretch they know in every round, so a path of n links takes
+log2(n) rounds of one equi-join each; rounds are cut off by checkpoints.
+"""
 
-import uuid
+from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
+#: Rounds after which a path would be longer than any table; only loops get there.
+MOST_ROUNDS = 60
 
-def _run(frames: dict[str, DataFrame], sql: str) -> DataFrame:
-    """SQL over ``frames`` under names of their own, so that calls don't meet."""
-    spark = next(iter(frames.values())).sparkSession
-    tag = uuid.uuid4().hex[:8]
-    for name, df in frames.items():
-        df.createOrReplaceTempView(f"{name}_{tag}")
-        sql = sql.replace(f"{{{name}}}", f"{name}_{tag}")
-    return spark.sql(sql)
 
+def _label() -> Column:
+    return F.concat(F.lpad(F.col("ord").cast("string"), 10, "0"), F.lit(":"), F.col("id").cast("string"))
 
-def walk(nodes: DataFrame, root: int, levels: int = 200) -> DataFrame:
+
+def walk(nodes: DataFrame, root: int) -> DataFrame:
     """``file_id, id, parent_id, depth, path`` of what ``root`` reaches, each file apart.
 
     ``nodes`` has file_id, id, parent_id and ord (the order among siblings). Sorting by
     path gives pre-order. A node met again on its own path ends that path, so loops end.
     """
-    return _run(
-        {"nodes": nodes.select("file_id", "id", "parent_id", "ord")},
-        f"""
-        WITH RECURSIVE t(file_id, id, parent_id, depth, path) MAX RECURSION LEVEL {levels} AS (
-          SELECT file_id, id, parent_id, 0, lpad(cast(ord AS string), 10, '0') || ':' || cast(id AS string) FROM {{nodes}} WHERE id = {int(root)}
-          UNION ALL
-          SELECT n.file_id, n.id, n.parent_id, t.depth + 1, t.path || '/' || lpad(cast(n.ord AS string), 10, '0') || ':' || cast(n.id AS string)
-          FROM t JOIN {{nodes}} n ON n.parent_id = t.id AND n.file_id = t.file_id
-          WHERE n.id <> n.parent_id AND instr(t.path, ':' || cast(n.id AS string) || '/') = 0 AND n.id <> {int(root)})
-        SELECT * FROM t""",
-    )
+    nodes = nodes.select("file_id", "id", "parent_id", "ord")
+    roots = nodes.filter(F.col("id") == root).select("file_id", "id", "parent_id", F.lit(0).alias("depth"), _label().alias("path"))
+    below = nodes.filter((F.col("id") != root) & (F.col("id") != F.col("parent_id")))
+    # Each row knows the way from an ancestor, not included, down to its node.
+    known = checkpointed(below.select("file_id", "id", "parent_id", F.col("parent_id").alias("top"), F.lit(1).alias("depth"), F.concat(F.lit("/"), _label()).alias("way")))
+    for _ in range(MOST_ROUNDS):
+        is_open = F.col("top") != root
+        if known.filter(is_open).isEmpty():
+            break
+        upper = known.select("file_id", F.col("id").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"), F.col("way").alias("upper"))
+        longer = known.filter(is_open).join(upper, ["file_id", "top"])
+        longer = longer.select("file_id", "id", "parent_id", F.col("next").alias("top"), (F.col("depth") + F.col("more")).alias("depth"), F.concat("upper", "way").alias("way"))
+        loops = F.contains(F.concat("way", F.lit("/")), F.concat(F.lit(":"), F.col("top").cast("string"), F.lit("/")))
+        known = checkpointed(known.filter(~is_open).unionByName(longer.filter(~loops)))
+    tops = roots.select("file_id", F.col("path").alias("start"))
+    reached = known.filter(F.col("top") == root).join(tops, "file_id").select("file_id", "id", "parent_id", "depth", F.concat("start", "way").alias("path"))
+    return roots.unionByName(reached)
 
 
 def children(nodes: DataFrame) -> DataFrame:
@@ -45,14 +52,22 @@ def children(nodes: DataFrame) -> DataFrame:
     return kids.groupBy("file_id", "parent_id").agg(F.transform(pairs, lambda x: x["id"]).alias("children"))
 
 
-def chain(links: DataFrame, starts: DataFrame, levels: int = 1000) -> DataFrame:
-    """``start, id, hop`` along ``links`` (id, next) from each of ``starts`` (start), to a link that isn't there."""
-    return _run(
-        {"links": links.select("id", "next"), "starts": starts.select("start")},
-        f"""
-        WITH RECURSIVE t(start, id, hop) MAX RECURSION LEVEL {levels} AS (
-          SELECT start, start, 0 FROM {{starts}}
-          UNION ALL
-          SELECT t.start, l.next, t.hop + 1 FROM t JOIN {{links}} l ON l.id = t.id WHERE l.next IS NOT NULL AND l.next <> t.start)
-        SELECT * FROM t""",
-    )
+def chain(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """``start, id, hop`` along ``links`` (id, next) from each of ``starts`` (start), to a link that isn't there.
+
+    A chain ends before a link that it has passed.
+    """
+    jump = checkpointed(links.select("id", "next").filter("next IS NOT NULL"))
+    found = checkpointed(starts.select("start", F.col("start").alias("id"), F.lit(0).cast("long").alias("hop")))
+    size, step = found.count(), 1
+    for _ in range(MOST_ROUNDS):
+        # What lies ``step`` further on from all that is known; a link met twice counts where it came first.
+        further = found.join(jump, "id").select("start", F.col("next").alias("id"), (F.col("hop") + step).alias("hop"))
+        found = checkpointed(found.unionByName(further).groupBy("start", "id").agg(F.min("hop").alias("hop")))
+        now = found.count()
+        if now == size:
+            break
+        far = jump.select(F.col("id").alias("next"), F.col("next").alias("far"))
+        size, step = now, 2 * step
+        jump = checkpointed(jump.join(far, "next").select("id", F.col("far").alias("next")).distinct())
+    return found.withColumn("hop", F.col("hop").cast("int"))

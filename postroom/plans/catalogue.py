@@ -349,7 +349,7 @@ def fat_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
     top = s.agg(F.max("id").alias("top"))
     links = s.join(F.broadcast(top)).select("id", F.when(F.col("id") + 10 <= F.col("top"), F.col("id") + 10).alias("next"))  # one row beside each
-    out = hierarchy.chain(links, s.filter("id <= 10").select(F.col("id").alias("start")), levels=5000)
+    out = hierarchy.chain(links, s.filter("id <= 10").select(F.col("id").alias("start")))
     return out.groupBy("start").agg(F.count("*").alias("sectors"), F.max("id").alias("last_sector"))
 
 

@@ -151,3 +151,18 @@ def test_queries_match_their_sql(spark, con, name):
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
     assert sorted((tuple(r[k] for k in cols) for r in got.collect()), key=repr) == sorted(want.project(", ".join(cols)).fetchall(), key=repr)
+
+
+def test_deep_and_wide_trees(spark):
+    deep = spark.range(1, 3001).select(F.lit(1).alias("file_id"), F.col("id"), (F.col("id") - 1).alias("parent_id"), F.lit(0).alias("ord"))
+    rows = hierarchy.walk(deep, 1).agg(F.count("*").alias("n"), F.max("depth").alias("depth")).first()
+    assert (rows.n, rows.depth) == (3000, 2999)
+    wide = spark.range(1, 1_100_002).select(F.lit(1).alias("file_id"), F.col("id"), F.when(F.col("id") == 1, 0).when(F.col("id") < 8, 1).otherwise(1 + F.col("id") % 7).alias("parent_id"), F.col("id").alias("ord"))
+    assert hierarchy.walk(wide, 1).agg(F.count("*")).first()[0] == 1_100_001
+
+
+def test_chains_end(spark):
+    links = [(k, k + 1) for k in range(1, 2500)] + [(5001, 5002), (5002, 5003), (5003, 5002), (6001, 6001), (7001, None)]
+    starts = spark.createDataFrame([(1,), (5001,), (6001,), (7001,), (9,)], "start bigint")
+    rows = hierarchy.chain(spark.createDataFrame(links, "id bigint, next bigint"), starts).groupBy("start").agg(F.count("*").alias("n"), F.max("hop").alias("last"))
+    assert {(r.start, r.n, r["last"]) for r in rows.collect()} == {(1, 2500, 2499), (9, 2492, 2491), (5001, 3, 2), (6001, 1, 0), (7001, 1, 0)}
