@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import normal_text, preview, within
+from ..functions.columns import get_header, normal_text, preview, within
 
 BODY, HTML, EML_BODY = (128, 0.02), (4096, 0.05), (64, 0.20)
 MOST_WARNINGS, MOST_CODES = 50, 20
@@ -98,6 +98,16 @@ def normal_addresses(value: Column) -> Column:
     return F.array_join(F.array_sort(found), ",")
 
 
+def eml_rows(parts: DataFrame, by: str = "file_id") -> DataFrame:
+    """``by, subject, sender, receivers, body_len``: what parsers of mail are compared by, from the rows of whole messages."""
+    top = parts.filter(F.size("part_path") == 0)
+    address = lambda name: normal_addresses(get_header("headers", name))
+    return top.select(
+        by, get_header("headers", "Subject").alias("subject"), address("From").alias("sender"), address("To").alias("receivers"),
+        F.octet_length("body").cast("long").alias("body_len"),
+    )
+
+
 def warning_gate(warnings: DataFrame, allowed: list[str], fail_severities: list[str], most: int = MOST_WARNINGS, by: str = "file_id") -> DataFrame:
     """(by, reason, n): the first failing rule of each warning, and files with too many."""
     reason = (

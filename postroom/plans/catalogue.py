@@ -555,3 +555,6 @@ def pst_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     files = n.select("file_id", F.pandas_udf(write, "binary", F.PandasUDFType.SCALAR)("keys").alias("content"))
     return decoded(files, "pst", "pst_items", strict_errors=True).groupBy("file_id", "type").agg(F.count("*").alias("n"))
+
+
+from . import containers  # noqa: E402, F401 - registers its queries here
