@@ -22,8 +22,8 @@ two a leader and batch go to the leader's task, which is enough to tell that the
 the others are dealt out by row and go straight to the comparison.
 
 Defined results: null text is empty; texts shorter than ``length`` lose nothing; repeated
-rows are copies of each other and lose what they share; rows are told apart by a 64-bit
-hash of doc_id and text; columns other than those read play no part.
+rows are copies of each other and lose what they share; rows are told apart by two hashes
+of doc_id and text, 96 bits in all (``rid``, ``salt``); columns other than those read play no part.
 """
 
 from __future__ import annotations
@@ -43,7 +43,9 @@ LENGTH, GRAM, BATCHES = 200, 40, 4
 CROWD = 10_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
-ENTRY = "leader bigint, stretch bigint, rid bigint, start int, n int, state tinyint"
+ENTRY = "leader bigint, stretch bigint, rid bigint, salt int, start int, n int, state tinyint"
+#: What tells a row of documents from all others.
+ROW = ["rid", "salt"]
 #: States of an entry: seen once so far, known to recur (and marked), mark only, compare only; ``OLD`` more for entries of a level.
 ONCE, AGAIN, MARK, SENT, OLD = 0, 1, 2, 3, 4
 #: Different stretches of one leader that a batch of rows sends to the leader's task.
@@ -128,27 +130,30 @@ def runs(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray
     return grams[place[start]], stretch_hash(sums, start, start + size + length - 1), start, size
 
 
-def _batch(leader, stretch, rid, start, n, state) -> pa.RecordBatch:
-    cols = [pa.array(leader.astype(_U).view(np.int64)), pa.array(stretch.astype(_U).view(np.int64)), pa.array(rid.astype(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(state.astype(np.int8))]
-    return pa.RecordBatch.from_arrays(cols, ["leader", "stretch", "rid", "start", "n", "state"])
+def _batch(leader, stretch, rid, salt, start, n, state) -> pa.RecordBatch:
+    cols = [pa.array(leader.astype(_U).view(np.int64)), pa.array(stretch.astype(_U).view(np.int64)), pa.array(rid.astype(np.int64)), pa.array(salt.astype(np.int32)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(state.astype(np.int8))]
+    return pa.RecordBatch.from_arrays(cols, ["leader", "stretch", "rid", "salt", "start", "n", "state"])
 
 
 def _entries(length: int, gram: int):
-    """Suffix entries of documents (rid, text); equal stretches of a batch become one entry and marks."""
+    """Suffix entries of documents (rid, salt, text; without salt it is 0); equal stretches of a batch become one entry and marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, owner = [], []
-            for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found, owner, salts = [], [], []
+            rids = batch.column("rid").to_pylist()
+            other = batch.column("salt").to_pylist() if "salt" in batch.schema.names else [0] * len(rids)
+            for rid, more, text in zip(rids, other, batch.column("text").to_pylist(), strict=True):
                 own = runs((text or "").encode("utf-8"), length, gram)
                 found.append(own)
                 owner.append(np.full(len(own[0]), rid, np.int64))
+                salts.append(np.full(len(own[0]), more, np.int32))
             if not found:
                 continue
             leader, stretch, start, n = (np.concatenate(x) for x in zip(*found, strict=True))
-            rid = np.concatenate(owner)
+            rid, salt = np.concatenate(owner), np.concatenate(salts)
             order = np.lexsort((stretch, leader))
-            leader, stretch, start, n, rid = (x[order] for x in (leader, stretch, start, n, rid))
+            leader, stretch, start, n, rid, salt = (x[order] for x in (leader, stretch, start, n, rid, salt))
             new = np.r_[True, (leader[1:] != leader[:-1]) | (stretch[1:] != stretch[:-1])][: len(leader)]
             twin = ~new | np.r_[~new[1:], np.zeros(min(1, len(new)), bool)]
             state = np.where(twin, np.where(new, AGAIN, MARK), ONCE)
@@ -161,9 +166,9 @@ def _entries(length: int, gram: int):
             rank = at - np.maximum.accumulate(np.where(top, at, 0))
             # Leaders with more stretches than witnesses: the rest is dealt by row, the leader in place of the stretch.
             sent, keep = keep[rank >= WITNESSES], keep[rank < WITNESSES]
-            yield _batch(leader[keep], stretch[keep], rid[keep], start[keep], n[keep], state[keep])
-            yield _batch(mixed(rid[sent].view(_U) ^ start[sent].astype(_U)), leader[sent], rid[sent], start[sent], n[sent], np.full(len(sent), SENT))
-            yield _batch(mixed(rid[mark].view(_U)), stretch[mark], rid[mark], start[mark], n[mark], np.full(len(mark), MARK))
+            yield _batch(leader[keep], stretch[keep], rid[keep], salt[keep], start[keep], n[keep], state[keep])
+            yield _batch(mixed(rid[sent].view(_U) ^ start[sent].astype(_U)), leader[sent], rid[sent], salt[sent], start[sent], n[sent], np.full(len(sent), SENT))
+            yield _batch(mixed(rid[mark].view(_U)), stretch[mark], rid[mark], salt[mark], start[mark], n[mark], np.full(len(mark), MARK))
 
     return run
 
@@ -177,10 +182,10 @@ def _scan(keep_level: bool):
     """Merge-scan of entries sorted by leader, then stretch."""
 
     def out(what: int, rows: np.ndarray, state: np.ndarray | None = None) -> pa.RecordBatch:
-        b = _batch(*(rows[k] for k in ("leader", "stretch", "rid", "start", "n")), rows["state"] if state is None else state)
+        b = _batch(*(rows[k] for k in ("leader", "stretch", "rid", "salt", "start", "n")), rows["state"] if state is None else state)
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), what, np.int8)), *b.columns], ["what", *b.schema.names])
 
-    kind = np.dtype([("leader", _U), ("stretch", _U), ("rid", np.int64), ("start", np.int64), ("n", np.int64), ("state", np.int64)])
+    kind = np.dtype([("leader", _U), ("stretch", _U), ("rid", np.int64), ("salt", np.int64), ("start", np.int64), ("n", np.int64), ("state", np.int64)])
 
     def settle(rows: np.ndarray, earlier: bool, more: bool) -> Iterator[pa.RecordBatch]:
         """Whole stretches. ``earlier`` / ``more``: the first / last leader has another stretch outside ``rows``."""
@@ -205,7 +210,7 @@ def _scan(keep_level: bool):
         open_rows, earlier = np.empty(0, kind), False
         for batch in batches:
             rows = np.empty(len(batch), kind)
-            for k, name in enumerate(("leader", "stretch", "rid", "start", "n", "state")):
+            for k, name in enumerate(("leader", "stretch", "rid", "salt", "start", "n", "state")):
                 col = batch.column(k).to_numpy()
                 rows[name] = col.view(_U) if k < 2 else col
             marks, sent = rows["state"] == MARK, rows[rows["state"] == SENT]
@@ -235,35 +240,36 @@ def _scan(keep_level: bool):
 
 
 def _windows(length: int):
-    """Bytes of the stretches to compare: (rid, text, places) to (leader, rid, start, raw)."""
+    """Bytes of the stretches to compare: (rid, salt, text, places) to (leader, rid, salt, start, raw)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leader, rid, start, raws = [], [], [], []
-            for r, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            leader, rid, salt, start, raws = [], [], [], [], []
+            for r, more, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = (text or "").encode("utf-8")
                 for p in places:
                     leader.append(p["leader"])
                     rid.append(r)
+                    salt.append(more)
                     start.append(p["start"])
                     raws.append(raw[p["start"] : p["start"] + p["n"] + length - 1])
-            yield pa.RecordBatch.from_arrays([pa.array(leader, pa.int64()), pa.array(rid, pa.int64()), pa.array(start, pa.int32()), pa.array(raws, pa.binary())], ["leader", "rid", "start", "raw"])
+            yield pa.RecordBatch.from_arrays([pa.array(leader, pa.int64()), pa.array(rid, pa.int64()), pa.array(salt, pa.int32()), pa.array(start, pa.int32()), pa.array(raws, pa.binary())], ["leader", "rid", "salt", "start", "raw"])
 
     return run
 
 
 def _hashed(length: int):
-    """The same places to (window hash, rid, start), a row for every window."""
+    """The same places to (window hash, rid, salt, start), a row for every window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for r, more, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 sums = prefix((text or "").encode("utf-8"))
                 n = np.array([p["n"] for p in places])
                 at = np.repeat([p["start"] for p in places], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 lead = np.repeat(np.array([p["leader"] for p in places], np.int64), n)
                 h = stretch_hash(sums, at, at + length) ^ mixed(lead.view(_U))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), r, np.int64)), pa.array(at.astype(np.int32))], ["h", "rid", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), r, np.int64)), pa.array(np.full(len(h), more, np.int32)), pa.array(at.astype(np.int32))], ["h", "rid", "salt", "start"])
 
     return run
 
@@ -271,7 +277,7 @@ def _hashed(length: int):
 def _compare(length: int):
     """Windows of stretches with one leader that occur in more than one of them."""
 
-    def group(lead: np.ndarray, rid: np.ndarray, start: np.ndarray, raws: list[bytes]) -> pa.RecordBatch:
+    def group(lead: np.ndarray, rid: np.ndarray, salt: np.ndarray, start: np.ndarray, raws: list[bytes]) -> pa.RecordBatch:
         sizes = np.array([len(x) for x in raws])
         sums = prefix(b"".join(raws))
         n = sizes - length + 1
@@ -285,7 +291,7 @@ def _compare(length: int):
         first = hit[new]
         size = np.diff(np.r_[np.flatnonzero(new), len(hit)])
         who = owner[first]
-        return pa.RecordBatch.from_arrays([pa.array(rid[who]), pa.array((start[who] + inside[first]).astype(np.int32)), pa.array(size.astype(np.int32))], ["rid", "start", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(rid[who]), pa.array(salt[who]), pa.array((start[who] + inside[first]).astype(np.int32)), pa.array(size.astype(np.int32))], ["rid", "salt", "start", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -296,10 +302,10 @@ def _compare(length: int):
             cut = int(np.searchsorted(lead, lead[-1], "left")) if len(lead) else 0
             if cut:
                 part = rows.slice(0, cut)
-                yield group(lead[:cut], part.column("rid").to_numpy(), part.column("start").to_numpy(), part.column("raw").to_pylist())
+                yield group(lead[:cut], part.column("rid").to_numpy(), part.column("salt").to_numpy(), part.column("start").to_numpy(), part.column("raw").to_pylist())
             held = rows.slice(cut)
         if held is not None and len(held):
-            yield group(*(held.column(k).to_numpy() for k in ("leader", "rid", "start")), held.column("raw").to_pylist())
+            yield group(*(held.column(k).to_numpy() for k in ("leader", "rid", "salt", "start")), held.column("raw").to_pylist())
 
     return run
 
@@ -320,9 +326,9 @@ class IndexFamily:
         return dealt.mapInArrow(_scan(keep_level), FOUND)
 
     def add(self, docs: DataFrame, last: bool = False) -> None:
-        """Match a batch (rid, text) with itself and all levels, and take it in unless it is the last."""
+        """Match a batch (rid, salt, text) with itself and all levels, and take it in unless it is the last."""
         arrow_batches(self.spark)
-        rows = docs.select("rid", "text").mapInArrow(_entries(self.length, self.gram), ENTRY)
+        rows = docs.select(*ROW, "text").mapInArrow(_entries(self.length, self.gram), ENTRY)
         for _, level in self.levels:
             rows = rows.unionByName(level.withColumn("state", (F.col("state") + OLD).cast("tinyint")))
         out = self.scratch.keep(self._scanned(rows, not last))
@@ -338,30 +344,30 @@ class IndexFamily:
         self.levels.append((size, level))
 
     def marks(self, docs: DataFrame) -> DataFrame:
-        """``rid, start, n``: runs of windows of ``docs`` (all batches) that occur elsewhere."""
+        """``rid, salt, start, n``: runs of windows of ``docs`` (all batches) that occur elsewhere."""
         found = self.found[0]
         for more in self.found[1:]:
             found = found.unionByName(more)
-        compare = found.filter(F.col("what") == TO_COMPARE).select("leader", "rid", "start", "n").distinct()
+        compare = found.filter(F.col("what") == TO_COMPARE).select("leader", *ROW, "start", "n").distinct()
         crowded = compare.groupBy("leader").count().filter(F.col("count") > CROWD).select("leader")
         crowded = checkpointed(crowded)
-        texts = docs.select("rid", "text").dropDuplicates(["rid"])
+        texts = docs.select(*ROW, "text").dropDuplicates(ROW)
 
         def with_text(entries: DataFrame) -> DataFrame:
-            places = entries.groupBy("rid").agg(F.collect_list(F.struct("leader", "start", "n")).alias("places"))
-            return texts.join(places, "rid").select("rid", "text", "places")
+            places = entries.groupBy(*ROW).agg(F.collect_list(F.struct("leader", "start", "n")).alias("places"))
+            return texts.join(places, ROW).select(*ROW, "text", "places")
 
         arrow_batches(self.spark)
-        marks = found.filter(F.col("what") == TO_MARK).select("rid", "start", "n")
+        marks = found.filter(F.col("what") == TO_MARK).select(*ROW, "start", "n")
         if not crowded.isEmpty():
-            rows = with_text(compare.join(crowded, "leader", "left_semi")).mapInArrow(_hashed(self.length), "h bigint, rid bigint, start int")
+            rows = with_text(compare.join(crowded, "leader", "left_semi")).mapInArrow(_hashed(self.length), "h bigint, rid bigint, salt int, start int")
             rows = self.scratch.keep(rows)
             twice = rows.groupBy("h").count().filter("count > 1").select("h")
-            marks = marks.unionByName(rows.join(twice, "h", "left_semi").select("rid", "start", F.lit(1).alias("n")))
+            marks = marks.unionByName(rows.join(twice, "h", "left_semi").select(*ROW, "start", F.lit(1).alias("n")))
             compare = compare.join(crowded, "leader", "left_anti")
-        raw = with_text(compare).mapInArrow(_windows(self.length), "leader bigint, rid bigint, start int, raw binary")
+        raw = with_text(compare).mapInArrow(_windows(self.length), "leader bigint, rid bigint, salt int, start int, raw binary")
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        shared = raw.repartition(n, "leader").sortWithinPartitions("leader").mapInArrow(_compare(self.length), "rid bigint, start int, n int")
+        shared = raw.repartition(n, "leader").sortWithinPartitions("leader").mapInArrow(_compare(self.length), "rid bigint, salt int, start int, n int")
         return marks.unionByName(self.scratch.keep(shared))
 
     def close(self) -> None:
@@ -369,10 +375,10 @@ class IndexFamily:
 
 
 def cut(docs: DataFrame, marks: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, text (what is left), n_bytes, n_removed, n_spans, kept_sha256 of ``docs`` (rid, doc_id, text)."""
+    """doc_id, text (what is left), n_bytes, n_removed, n_spans, kept_sha256 of ``docs`` (rid, salt, doc_id, text)."""
     # Copies of a row, and an entry found again by a later batch, mark the same places.
-    places = marks.distinct().groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("places"))
-    both = docs.select("rid", "doc_id", "text").join(places, "rid", "left").select("doc_id", "text", "places")
+    places = marks.distinct().groupBy(*ROW).agg(F.collect_list(F.struct("start", "n")).alias("places"))
+    both = docs.select(*ROW, "doc_id", "text").join(places, ROW, "left").select("doc_id", "text", "places")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,7 +403,8 @@ def cut(docs: DataFrame, marks: DataFrame, length: int = LENGTH) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES, digest: bool = False) -> DataFrame:
     """What ``cut`` gives for all ``docs``, indexed in ``batches``; with ``digest``, without the bytes kept, as a written table."""
     spark = docs.sparkSession
-    own = docs.select("doc_id", "text").withColumn("rid", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    row = ["doc_id", F.coalesce("text", F.lit(""))]
+    own = docs.select("doc_id", "text", F.xxhash64(*row).alias("rid"), F.hash(*row).alias("salt"))
     family = IndexFamily(spark, length, gram)
     try:
         for k in range(batches):
