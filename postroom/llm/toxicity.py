@@ -5,7 +5,9 @@ ordinary and one on toxic text. A text falls into windows of ``WINDOW_WORDS`` wo
 is compressed with either dictionary, behind the dictionary's own last ``LEAD`` bytes (one
 match in both, so that even a short window is compressed, not stored as it is). The bytes
 that the toxic dictionary saves are the window's gain, unless it still needs over ``DEAR``. Counts and shares of windows from
-gain thresholds of 1 to 8 up, the largest gains and their mean go through a logistic calibration.
+gain thresholds of 1 to 8 up, the largest gains and their mean, none beyond what the
+calibration saw, go through a logistic calibration; a text without any gain scores the
+share of toxic ones among such texts.
 
 Toxic texts are mostly ordinary, so the toxic dictionary is trained in rounds: first on
 whole toxic texts, then on those of their windows whose gain says toxic: from the least
@@ -157,13 +159,18 @@ N_FEATURES = 21
 class Model:
     ordinary: bytes
     toxic: bytes
+    low: np.ndarray
+    high: np.ndarray
     mean: np.ndarray
     spread: np.ndarray
     weights: np.ndarray
+    quiet: float
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         x = np.array([features(t, self.ordinary, self.toxic) for t in texts], float).reshape(-1, N_FEATURES)
-        return 1 / (1 + np.exp(-np.clip(((x - self.mean) / self.spread * self.weights[:-1]).sum(axis=1) + self.weights[-1], -30, 30)))
+        z = (np.clip(x, self.low, self.high) - self.mean) / self.spread
+        s = 1 / (1 + np.exp(-np.clip((z * self.weights[:-1]).sum(axis=1) + self.weights[-1], -30, 30)))
+        return np.where(x[:, 0] > 0, s, self.quiet)
 
 
 def whole_text_dictionaries(sample: DataFrame) -> dict[str, bytes | None]:
@@ -256,8 +263,11 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int, held: int, bound: int
     weights = logistic((x - mean) / spread, y, ridge=1.0)
     n = {r["part"]: r["count"] for r in sample.groupBy("part").count().collect()}
     # To the classes' shares of the sample: each reserved text counts twice here, ordinary ones in all count once there.
-    weights[-1] += np.log(2 * n["reserved"] / (n["reserved"] + n["ordinary"]))
-    return Model(ordinary, final, mean, spread, weights)
+    more = (n["reserved"] + n["ordinary"]) / (2 * n["reserved"])
+    weights[-1] -= np.log(more)
+    silent = np.bincount(y[x[:, 0] == 0], minlength=2)
+    quiet = (silent[1] + 0.5) / (silent[1] + more * silent[0] + 1)
+    return Model(ordinary, final, x.min(axis=0), x.max(axis=0), mean, spread, weights, float(quiet))
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, modulus: int, held: int, threshold: float = 0.7) -> DataFrame:
