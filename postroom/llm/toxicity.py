@@ -4,7 +4,8 @@ Method: two zstandard dictionaries, trained apart by the library's own trainer,
 ordinary and one on toxic text. A text falls into windows of ``WINDOW_WORDS`` words; each
 is compressed with either dictionary, behind the dictionary's own last ``LEAD`` bytes (one
 match in both, so that even a short window is compressed, not stored as it is). The bytes
-that the toxic dictionary saves are the window's gain, unless it still needs over ``DEAR``. Counts and shares of windows from
+that the toxic dictionary saves are the window's gain, unless it still needs over ``DEAR``;
+gains count from a zero set for each pair of dictionaries on ordinary texts unseen by both. Counts and shares of windows from
 gain thresholds of 1 to 8 up, the largest gains and their mean, none beyond what the
 calibration saw, go through a logistic calibration; a text without any gain scores the
 share of toxic ones among such texts.
@@ -55,9 +56,11 @@ ROUNDS, CLEAR = 3, 4
 RESERVED = 4
 #: A window that costs more bytes than this with the toxic dictionary isn't toxic; its gain is 0.
 DEAR = 9
-TOP = 12
+TOP, NONE = 12, -12
+#: Gains count from where at most this share of the windows of reserved ordinary texts goes further.
+ABOVE = 0.04
 #: Windows whose gains a worker remembers (some 100 bytes each).
-MEMORY = 500_000
+MEMORY = 1_000_000
 HALVES = ("even", "odd")
 OTHER = dict(zip(HALVES, HALVES[::-1], strict=True))
 
@@ -65,7 +68,7 @@ OTHER = dict(zip(HALVES, HALVES[::-1], strict=True))
 def windows(text: str | None) -> list[bytes]:
     """All windows of a text in lower case."""
     words = (text or "").lower().encode("utf-8").split()
-    if any(len(w) > WORD_BYTES for w in words):
+    if max(map(len, words), default=0) > WORD_BYTES:
         words = [w[i : i + WORD_BYTES] for w in words for i in range(0, len(w), WORD_BYTES)]
     return [b" " + b" ".join(words[i : i + WINDOW_WORDS]) + b" " for i in range(0, max(1, len(words)), WINDOW_WORDS)]
 
@@ -90,7 +93,7 @@ class Coder:
     def __init__(self, dictionary: bytes):
         log = max(13, (len(dictionary) - 1).bit_length())  # tables that fit the dictionary
         how = zs.ZstdCompressionParameters.from_level(
-            18, window_log=21, hash_log=log - 1, chain_log=log, min_match=3, write_content_size=False, write_dict_id=False, write_checksum=False
+            18, window_log=21, hash_log=log - 1, chain_log=log, min_match=3, search_log=5, target_length=16, write_content_size=False, write_dict_id=False, write_checksum=False
         )
         ready = zs.ZstdCompressionDict(dictionary)
         ready.precompute_compress(compression_params=how)
@@ -121,18 +124,21 @@ class Scale:
         self.ordinary, self.toxic, self.known = coder(ordinary), coder(toxic), {}
 
     def gains(self, parts: list[bytes]) -> np.ndarray:
-        """Bytes that the toxic dictionary saves on each window, 0 where it saves none."""
+        """Bytes that the toxic dictionary saves on each window, ``NONE`` where it needs over ``DEAR``."""
         known = self.known
-        new = [w for w in dict.fromkeys(parts) if w not in known]
-        if len(known) + len(new) > MEMORY:
+        out = list(map(known.get, parts))
+        if None not in out:
+            return np.array(out, np.int64)
+        if len(known) + len(parts) > MEMORY:
             known.clear()
-            new = list(dict.fromkeys(parts))
+            out = [None] * len(parts)
+        new = list({w for w, g in zip(parts, out, strict=True) if g is None})
         cost = self.toxic.sizes(new)
         near = np.flatnonzero(cost <= DEAR)
-        gain = np.zeros(len(new), np.int64)
+        gain = np.full(len(new), NONE, np.int64)
         gain[near] = self.ordinary.sizes([new[i] for i in near]) - cost[near]
-        known.update(zip(new, np.maximum(gain, 0).tolist(), strict=True))
-        return np.fromiter((known[w] for w in parts), np.int64, len(parts))
+        known.update(zip(new, gain.tolist(), strict=True))
+        return np.array(list(map(known.__getitem__, parts)), np.int64)
 
 
 _PAIRS: dict[tuple[bytes, bytes], Scale] = {}
@@ -146,8 +152,9 @@ def gains(parts: list[bytes], ordinary: bytes, toxic: bytes) -> np.ndarray:
     return _PAIRS[ordinary, toxic].gains(parts)
 
 
-def features(text: str | None, ordinary: bytes, toxic: bytes) -> list[float]:
-    g = np.sort(gains(windows(text), ordinary, toxic))[::-1]
+def features(text: str | None, ordinary: bytes, toxic: bytes, zero: int) -> list[float]:
+    """Of a text's gains above ``zero``."""
+    g = np.sort(np.maximum(gains(windows(text), ordinary, toxic) - zero, 0))[::-1]
     over = np.searchsorted(-g, -np.arange(1, 9), "right")
     return [g[0], g[:3].mean(), g[:8].mean(), g.mean(), *(over / len(g)), *np.log1p(over), np.log(len(g))]
 
@@ -159,6 +166,7 @@ N_FEATURES = 21
 class Model:
     ordinary: bytes
     toxic: bytes
+    zero: int
     low: np.ndarray
     high: np.ndarray
     mean: np.ndarray
@@ -167,7 +175,7 @@ class Model:
     quiet: float
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        x = np.array([features(t, self.ordinary, self.toxic) for t in texts], float).reshape(-1, N_FEATURES)
+        x = np.array([features(t, self.ordinary, self.toxic, self.zero) for t in texts], float).reshape(-1, N_FEATURES)
         z = (np.clip(x, self.low, self.high) - self.mean) / self.spread
         s = 1 / (1 + np.exp(-np.clip((z * self.weights[:-1]).sum(axis=1) + self.weights[-1], -30, 30)))
         return np.where(x[:, 0] > 0, s, self.quiet)
@@ -194,7 +202,7 @@ def chosen_windows(rows: DataFrame, ordinary: bytes, toxic: dict[str, bytes]) ->
             for text, part in zip(batch.column("text").to_pylist(), batch.column("part").to_pylist(), strict=True):
                 parts = windows(text)
                 for half in HALVES if part == "reserved" else [part]:
-                    g = np.minimum(gains(parts, ordinary, toxic[OTHER[half]]), TOP)
+                    g = np.clip(gains(parts, ordinary, toxic[OTHER[half]]), 0, TOP)
                     hot = np.flatnonzero(g) if part == half else []
                     row = (half, np.bincount(g, minlength=TOP + 1).tolist(), [parts[i] for i in hot] if part == half else None, [int(g[i]) for i in hot])
                     for column, value in zip(out, row, strict=True):
@@ -217,16 +225,37 @@ def chosen_windows(rows: DataFrame, ordinary: bytes, toxic: dict[str, bytes]) ->
     return chosen
 
 
-def calibration_rows(rows: DataFrame, ordinary: bytes, toxic: dict[str, bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of toxic texts by the other half's dictionary, of reserved ordinary ones by both."""
+def zeros(rows: DataFrame, ordinary: bytes, toxic: dict[str, bytes]) -> dict[str, int]:
+    """By name of a toxic dictionary: the gain that at most ``ABOVE`` of the reserved texts' windows go beyond."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = {name: np.zeros(TOP - NONE + 1, np.int64) for name in toxic}
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                parts = windows(text)
+                for name, own in toxic.items():
+                    counts[name] += np.bincount(np.clip(gains(parts, ordinary, own), NONE, TOP) - NONE, minlength=TOP - NONE + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c.tolist() for c in counts.values()], pa.list_(pa.int64()))], ["name", "counts"])
+
+    got = rows.filter("part = 'reserved'").mapInArrow(run, "name string, counts array<bigint>").collect()
+    out = {}
+    for name in toxic:
+        counts = np.sum([r["counts"] for r in got if r["name"] == name], axis=0)
+        beyond = counts.sum() - np.cumsum(counts)
+        out[name] = NONE + int(np.argmax(beyond <= ABOVE * counts.sum()))
+    return out
+
+
+def calibration_rows(rows: DataFrame, ordinary: bytes, toxic: dict[str, bytes], zero: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of toxic texts by the other half's dictionary, of reserved ordinary ones, which trained none, by the final one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = [], []
             for text, part in zip(batch.column("text").to_pylist(), batch.column("part").to_pylist(), strict=True):
-                for half in HALVES if part == "reserved" else [part]:
-                    x.append(features(text, ordinary, toxic[OTHER[half]]))
-                    y.append(int(part != "reserved"))
+                name = "final" if part == "reserved" else OTHER[part]
+                x.append(features(text, ordinary, toxic[name], zero[name]))
+                y.append(int(part != "reserved"))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], ["x", "label"])
 
     got = rows.mapInArrow(run, "x array<double>, label int").toArrow()
@@ -256,18 +285,19 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int, held: int, bound: int
         if both is None or None in new.values():
             break
         toxic, final = new, both
-    x, y = calibration_rows(rows, ordinary, toxic)
+    toxic = {**toxic, "final": final}
+    zero = zeros(rows, ordinary, toxic)
+    x, y = calibration_rows(rows, ordinary, toxic, zero)
     if len(set(y)) < 2:
         return None
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
     weights = logistic((x - mean) / spread, y, ridge=1.0)
     n = {r["part"]: r["count"] for r in sample.groupBy("part").count().collect()}
-    # To the classes' shares of the sample: each reserved text counts twice here, ordinary ones in all count once there.
-    more = (n["reserved"] + n["ordinary"]) / (2 * n["reserved"])
+    more = (n["reserved"] + n["ordinary"]) / n["reserved"]  # to the classes' shares of the sample
     weights[-1] -= np.log(more)
     silent = np.bincount(y[x[:, 0] == 0], minlength=2)
     quiet = (silent[1] + 0.5) / (silent[1] + more * silent[0] + 1)
-    return Model(ordinary, final, x.min(axis=0), x.max(axis=0), mean, spread, weights, float(quiet))
+    return Model(ordinary, final, zero["final"], x.min(axis=0), x.max(axis=0), mean, spread, weights, float(quiet))
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, modulus: int, held: int, threshold: float = 0.7) -> DataFrame:
