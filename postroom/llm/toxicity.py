@@ -53,7 +53,7 @@ WINDOW_WORDS, WORD_BYTES, LEAD = 2, 32, 12
 ORDINARY, WHOLE, TOXIC = 400_000, 60_000, 16_000
 ROUNDS, CLEAR = 3, 4
 #: Ordinary texts, one in so many by hash, that thresholds and calibration are measured on.
-RESERVED = 8
+RESERVED = 4
 #: A window that costs more bytes than this with the toxic dictionary isn't toxic; its gain is 0.
 DEAR = 9
 TOP, NONE = 12, -12
