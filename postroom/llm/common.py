@@ -10,11 +10,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship
+from ..session import ARROW_BYTES, ARROW_ROWS, BYTES_SETTING, ROWS_SETTING, arrow_batches, ship  # noqa: F401 - operators take them from here
 
-#: Rows and bytes in an Arrow batch: whole texts travel in them, so a batch of long ones must still be small.
-ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
-ROWS_SETTING, BYTES_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -22,16 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch carries to a Python worker, and see that workers have this package.
-
-    The bounds stay: frames that are made under them may run much later.
-    """
-    ship(spark)
-    spark.conf.set(ROWS_SETTING, str(ARROW_ROWS))
-    spark.conf.set(BYTES_SETTING, str(ARROW_BYTES))
-
-
 @contextmanager
 def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     """``key`` set for what runs inside, and as before after it."""

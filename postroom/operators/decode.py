@@ -1,6 +1,7 @@
 """Tables from files: each decoder turns a file's bytes into rows, Arrow batch by Arrow batch.
 
-A decoder reads one file at a time and holds nothing but that file. In permissive mode a
+A decoder reads one file at a time and holds nothing but that file; Arrow batches, in and
+out, are bounded by rows and bytes. In permissive mode a
 file that can't be read gives no rows, and a row of ``warnings`` with code ``parse_error``;
 with ``strict_errors`` it fails the task.
 """
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import cfb, dims, mapi, message, mime, pst
-from ..session import ship
+from ..session import ARROW_BYTES, ARROW_ROWS, arrow_batches
 
 Rows = Iterator[tuple]
 
@@ -246,30 +247,60 @@ def decoded(files: DataFrame, kind: str, table: str, strict_errors: bool = False
 
     ``tags`` (code, name, kind) join the built-in ones; ``substitution`` decodes encoded stores.
     """
-    ship(files.sparkSession)
+    arrow_batches(files.sparkSession)
     decode = DECODERS[kind, table]
     id_kind = files.schema["file_id"].dataType
     schema = T.StructType([T.StructField("file_id", id_kind), *T.StructType.fromDDL(SCHEMAS[table]).fields])
-    arrow, names = to_arrow_schema(schema), schema.fieldNames()
+    arrow = to_arrow_schema(schema)
     tags = list(tags)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dims.use(tags, substitution)
+        yield from packed(rows(batches), arrow)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Rows:
         for batch in batches:
-            out: list[tuple] = []
-            for file_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for file_id, raw in zip(batch.column(0), batch.column(1), strict=True):
+                raw = raw.as_py()
                 raw = raw.encode("utf-8", "surrogateescape") if isinstance(raw, str) else raw or b""
                 try:
-                    out += [(file_id, *row) for row in decode(raw)]
+                    found = list(decode(raw))
                 except Exception:  # noqa: BLE001 - ``warnings`` says why
                     if strict_errors:
                         raise
-            cols = zip(*out, strict=True) if out else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([_array(list(c), f.type) for c, f in zip(cols, arrow, strict=True)], names)
+                    continue
+                yield from ((file_id.as_py(), *row) for row in found)
 
     return files.select("file_id", "content").mapInArrow(run, schema)
 
 
+def packed(rows: Rows, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of at most ``ARROW_ROWS``; one ends with the row that brings it to ``ARROW_BYTES``."""
+    out: list[tuple] = []
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_array(list(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema.names)
+
+    for row in rows:
+        out.append(row)
+        size += _size(row)
+        if len(out) >= ARROW_ROWS or size >= ARROW_BYTES:
+            yield batch()
+            out, size = [], 0
+    if out:
+        yield batch()
+
+
+def _size(v) -> int:
+    """Length of all texts and bytes in a value."""
+    if isinstance(v, str | bytes):
+        return len(v)
+    if isinstance(v, dict):
+        v = [*v.items()]
+    return sum(map(_size, v)) if isinstance(v, list | tuple) else 0
+
+
 def _array(values: list, kind: pa.DataType) -> pa.Array:
     if pa.types.is_list(kind) and pa.types.is_struct(kind.value_type):
         names = [f.name for f in kind.value_type]

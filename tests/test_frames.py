@@ -3,14 +3,16 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from postroom.functions import columns as c
 from postroom.functions import mime
 from postroom.operators import gates, hierarchy
-from postroom.operators.decode import DECODERS, SCHEMAS, decoded
+from postroom.operators.decode import DECODERS, SCHEMAS, decoded, packed
 from postroom.plans import catalogue
+from postroom.session import ARROW_BYTES, ARROW_ROWS, BYTES_SETTING, ROWS_SETTING
 from postroom.sources import datasource, files
 from postroom.sources import synthetic as make
 from postroom.streaming import drop_folder
@@ -136,6 +138,38 @@ def test_empty_and_null_input(spark):
     assert decoded(df.limit(0), "eml", "mime_parts").count() == 0
 
 
+@pytest.mark.parametrize("table", ["eml", "mime_parts"])
+def test_long_mails_go_in_small_batches(spark, table):
+    for key in (ROWS_SETTING, BYTES_SETTING):
+        spark.conf.unset(key)
+    head = F.concat(F.lit("Subject: "), F.repeat(F.lit("word "), 4000), F.lit("\r\n\r\n"), F.repeat(F.lit("text "), 8000))
+    mails = spark.range(0, 1500, 1, 1).select(F.col("id").alias("file_id"), head.alias("content"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    rows = decoded(mails, "eml", table, strict_errors=True).mapInArrow(sizes, "n bigint, size bigint").collect()
+    assert sum(r.n for r in rows) == 1500 and max(r["size"] for r in rows) < 40 << 20
+
+
+def test_a_batch_is_decoded_bit_by_bit():
+    schema = pa.schema([("file_id", pa.int64()), ("eml", pa.string())])
+    taken = []
+
+    def rows():
+        for k in range(3000):
+            taken.append(k)
+            yield k, "x" * (100_000 if k < 1000 else 10)
+
+    sizes, first = [], None
+    for b in packed(rows(), schema):
+        first = first or len(taken)
+        sizes.append((b.num_rows, b.nbytes))
+    assert sum(n for n, _ in sizes) == 3000 and first < 200
+    assert max(n for n, _ in sizes) <= ARROW_ROWS and max(x for _, x in sizes) < ARROW_BYTES + 200_000
+
+
 @pytest.fixture(scope="module")
 def con():
     con = duckdb.connect()

@@ -2,10 +2,13 @@ from __future__ import annotations
 
 import email
 import random
+import time
+import tracemalloc
 from datetime import datetime, timedelta, timezone
 from email import policy
 
 import pytest
+import regex
 
 from postroom.functions import mime
 
@@ -76,6 +79,38 @@ def test_folding():
     assert mime.fold("S", "é" * 73) == f"S: {'é' * 73}\r\n"
 
 
+def test_folding_by_runs_is_folding_of_the_whole():
+    def whole(name, value):
+        chars, out, at = regex.findall(r"\X", f"{name}: {value}"), [], 0
+        while len(chars) - at > 76:
+            cut = next((k + (chars[at + k] == ",") for k in range(75, -1, -1) if chars[at + k] in (" ", ",")), 0)
+            out.append("".join(chars[at : at + (cut or 76)]))
+            at += cut or 76
+            while cut and at < len(chars) and chars[at][0].isspace():
+                chars[at] = chars[at].lstrip()
+                at += not chars[at]
+        return "\r\n ".join(out + (["".join(chars[at:])] if at < len(chars) else [])) + "\r\n"
+
+    rng = random.Random(4)
+    signs = ["a", "b", " ", " ", ",", "\r\n", "\r", "\t", "\u0301", "\u200d", "\u0600", "é", "漢", "\U0001f1e6", "\U0001f468", "\U0001f3fd", "\u0915", "\u094d", "\u1100", "\u1161", "\u11a8", "\u3000", "\udc80"]
+    for n in [*range(60, 90), 4090, 4096, 4100, 9000, 30_000] * 4:
+        some = rng.sample(signs, rng.randrange(1, len(signs)))
+        value = "".join(rng.choices(some, k=n))
+        assert mime.fold("Subject", value) == whole("Subject", value)
+
+
+def test_long_headers_take_little_more_than_their_text():
+    value = "漢字 " * 300_000
+    tracemalloc.start()
+    text = mime.fold("Subject", value)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 12 * len(value) and len(text) > len(value)
+    started = time.time()
+    assert mime.parse_headers("A: 1\r\n" + " 234567890\r\n" * 150_000)[0] == [("A", "1" + " 234567890" * 150_000)]
+    assert time.time() - started < 5
+
+
 def test_transfer_encodings():
     rng = random.Random(0)
     raw = bytes(rng.randrange(256) for _ in range(1000))
