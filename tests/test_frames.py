@@ -153,6 +153,16 @@ def test_long_mails_go_in_small_batches(spark, table):
     assert sum(r.n for r in rows) == 1500 and max(r["size"] for r in rows) < 40 << 20
 
 
+def test_round_trip_of_long_bodies(spark, tmp_path):
+    for key in (ROWS_SETTING, BYTES_SETTING):
+        spark.conf.unset(key)
+    texts = spark.range(0, 40, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("漢 é\r\n\r\n"), "id"), 100_000).alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"))
+    texts.write.parquet(str(tmp_path / "documents.parquet"))
+    back = catalogue.QUERIES["eml_roundtrip"](spark, str(tmp_path))
+    assert {(r.doc_id, r.subject, r.body_sha256) for r in back.collect()} == {(r[0], "web", r[1]) for r in texts.select("doc_id", F.sha2(F.col("text").cast("binary"), 256)).collect()}
+    assert (int(spark.conf.get(ROWS_SETTING)), int(spark.conf.get(BYTES_SETTING))) == (ARROW_ROWS, ARROW_BYTES)
+
+
 def test_a_batch_is_decoded_bit_by_bit():
     schema = pa.schema([("file_id", pa.int64()), ("eml", pa.string())])
     taken = []
