@@ -10,8 +10,11 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ARROW_BYTES, ARROW_ROWS, BYTES_SETTING, ROWS_SETTING, arrow_batches, ship  # noqa: F401 - operators take them from here
+from .. import session
+from ..session import ARROW_ROWS, BYTES_SETTING, ROWS_SETTING, ship  # noqa: F401 - operators take them from here
 
+#: Bytes in an Arrow batch here, where a worker holds few copies of it.
+ARROW_BYTES = 16 << 20
 CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -19,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arrow_batches(spark: SparkSession) -> None:
+    session.arrow_batches(spark, ARROW_BYTES)
+
+
 @contextmanager
 def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     """``key`` set for what runs inside, and as before after it."""

@@ -9,6 +9,7 @@ with ``strict_errors`` it fails the task.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime
 
@@ -21,6 +22,7 @@ from ..functions import cfb, dims, mapi, message, mime, pst
 from ..session import ARROW_BYTES, ARROW_ROWS, arrow_batches
 
 Rows = Iterator[tuple]
+SLICE = 1 << 20
 
 SCHEMAS = {
     "cfb_header": "major int, minor int, sector_size int, mini_size int, cutoff bigint, dir_start bigint, fat_sectors bigint, mini_fat_start bigint, difat_sectors bigint",
@@ -49,10 +51,18 @@ def _long(n: int) -> int:
 
 def _text(v) -> str | None:
     if v is None or isinstance(v, str):
-        return None if v is None else v.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+        return v if v is None or _is_unicode(v) else v.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
     return v.decode("utf-8", "replace") if isinstance(v, bytes) else str(v)
 
 
+def _is_unicode(text: str) -> bool:
+    """Whether no surrogate is in it, looked at in slices: a long text is not copied whole."""
+    try:
+        return text.isascii() or all(text[k : k + SLICE].encode() for k in range(0, len(text), SLICE))
+    except UnicodeEncodeError:
+        return False
+
+
 def value_columns(v) -> tuple:
     """(kind, i, d, b, s, bin, ts, arr): a value in the column of its kind."""
     i = d = b = s = raw = ts = arr = None
@@ -260,42 +270,53 @@ def decoded(files: DataFrame, kind: str, table: str, strict_errors: bool = False
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Rows:
         for batch in batches:
-            for file_id, raw in zip(batch.column(0), batch.column(1), strict=True):
-                raw = raw.as_py()
-                raw = raw.encode("utf-8", "surrogateescape") if isinstance(raw, str) else raw or b""
-                try:
-                    found = list(decode(raw))
-                except Exception:  # noqa: BLE001 - ``warnings`` says why
-                    if strict_errors:
-                        raise
-                    continue
-                yield from ((file_id.as_py(), *row) for row in found)
+            for file_id, content in zip(batch.column(0), batch.column(1), strict=True):
+                found = read(content.as_py())
+                while found:
+                    yield file_id.as_py(), *found.pop()
+
+    def read(raw: bytes | str | None) -> list[tuple]:
+        """A file's rows, the last one first; mail is text already, other kinds take bytes."""
+        if isinstance(raw, str) and kind != "eml":
+            raw = raw.encode("utf-8", "surrogateescape")
+        try:
+            return list(decode(raw or b""))[::-1]
+        except Exception:  # noqa: BLE001 - ``warnings`` says why
+            if strict_errors:
+                raise
+            return []
 
     return files.select("file_id", "content").mapInArrow(run, schema)
 
 
 def packed(rows: Rows, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows as batches of at most ``ARROW_ROWS``; one ends with the row that brings it to ``ARROW_BYTES``."""
+    """Rows as batches of at most ``ARROW_ROWS``; one ends with the row that brings it to ``ARROW_BYTES``.
+
+    No row is kept once its batch is made.
+    """
     out: list[tuple] = []
     size = 0
 
     def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([_array(list(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema.names)
+        made = pa.RecordBatch.from_arrays([_array(list(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema.names)
+        out.clear()
+        return made
 
     for row in rows:
         out.append(row)
         size += _size(row)
+        del row
         if len(out) >= ARROW_ROWS or size >= ARROW_BYTES:
             yield batch()
-            out, size = [], 0
+            size = 0
     if out:
         yield batch()
 
 
 def _size(v) -> int:
-    """Length of all texts and bytes in a value."""
+    """Memory of all texts and bytes in a value: up to four bytes a sign."""
     if isinstance(v, str | bytes):
-        return len(v)
+        return sys.getsizeof(v)
     if isinstance(v, dict):
         v = [*v.items()]
     return sum(map(_size, v)) if isinstance(v, list | tuple) else 0

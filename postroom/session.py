@@ -17,7 +17,8 @@ PINNED = {
 }
 
 #: Rows and bytes in an Arrow batch: whole texts travel in them, so a batch of long ones must still be small.
-ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
+#: A worker that decodes mail holds a batch several times over, and an executor has up to two workers a core.
+ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
 ROWS_SETTING, BYTES_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -61,14 +62,14 @@ def ship(spark: SparkSession) -> None:
     context._postroom_shipped = True
 
 
-def arrow_batches(spark: SparkSession) -> None:
+def arrow_batches(spark: SparkSession, size: int = ARROW_BYTES) -> None:
     """Bound what one Arrow batch carries to a Python worker, and see that workers have this package.
 
     The bounds stay: frames that are made under them may run much later.
     """
     ship(spark)
     spark.conf.set(ROWS_SETTING, str(ARROW_ROWS))
-    spark.conf.set(BYTES_SETTING, str(ARROW_BYTES))
+    spark.conf.set(BYTES_SETTING, str(size))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import os
+import sys
+import tracemalloc
 
 import duckdb
 import pyarrow as pa
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from postroom.functions import columns as c
 from postroom.functions import mime
-from postroom.operators import gates, hierarchy
+from postroom.operators import decode, gates, hierarchy
 from postroom.operators.decode import DECODERS, SCHEMAS, decoded, packed
 from postroom.plans import catalogue
 from postroom.session import ARROW_BYTES, ARROW_ROWS, BYTES_SETTING, ROWS_SETTING
@@ -180,6 +182,34 @@ def test_a_batch_is_decoded_bit_by_bit():
     assert max(n for n, _ in sizes) <= ARROW_ROWS and max(x for _, x in sizes) < ARROW_BYTES + 200_000
 
 
+def test_batches_of_wide_signs_are_bounded_in_bytes_and_keep_no_rows():
+    schema = pa.schema([("file_id", pa.int64()), ("eml", pa.string())])
+    sizes, kept = [], []
+    assert len(list(packed([(0, "a")], schema))) == 1  # loads what the first batch loads
+    tracemalloc.start()
+    for b in packed(((k, "漢" * (100_000 + k)) for k in range(200)), schema):
+        sizes.append((b.num_rows, b.nbytes))
+        kept.append(tracemalloc.get_traced_memory()[0])
+    tracemalloc.stop()
+    assert sum(n for n, _ in sizes) == 200 and max(x for _, x in sizes) < 2 * ARROW_BYTES and max(kept) < 100_000
+
+
+def test_a_long_mail_is_copied_few_times():
+    raw = "Subject: web\r\n\r\n" + "漢" * 3_000_000
+    tracemalloc.start()
+    again = list(DECODERS["eml", "eml"](raw))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert again == [(raw,)] and most < 3 * sys.getsizeof(raw)
+
+
+def test_what_is_no_text_is_replaced_wherever_it_stands():
+    for text in ("", "abc", "é漢\U0001f468", "\udc80", "é" * 3_000_000, "é" * 3_000_000 + "\udcff", "\udce9" + "漢" * 2_000_000):
+        assert decode._text(text) == text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+    with pytest.raises(UnicodeEncodeError):
+        decode._text("\ud800")
+
+
 @pytest.fixture(scope="module")
 def con():
     con = duckdb.connect()
