@@ -1,7 +1,7 @@
 """Toxicity scores by compression distance.
 
 Method: two zstandard dictionaries, trained apart by the library's own trainer, one on
-ordinary and one on toxic text. A text falls into windows of ``WINDOW_WORDS`` words; each
+ordinary and one on toxic text. A text falls into windows of two words; each
 is compressed with either dictionary, behind the dictionary's own last ``LEAD`` bytes (one
 match in both, so that even a short window is compressed, not stored as it is). The bytes
 that the toxic dictionary saves are the window's gain, unless it still needs over ``DEAR``;
@@ -36,6 +36,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -48,7 +49,7 @@ from .common import arrow_batches, checkpointed, table
 from .quality import labelled, logistic
 
 SAMPLE, SAMPLE_BYTES = 8_000, 64_000_000
-WINDOW_WORDS, WORD_BYTES, LEAD = 2, 32, 12
+WORD_BYTES, LEAD = 32, 12
 #: Bytes of a dictionary of ordinary text, of whole toxic texts, and of toxic windows.
 ORDINARY, WHOLE, TOXIC = 400_000, 60_000, 16_000
 ROUNDS, CLEAR = 3, 4
@@ -59,18 +60,30 @@ DEAR = 9
 TOP, NONE = 12, -12
 #: Gains count from where at most this share of the windows of reserved ordinary texts goes further.
 ABOVE = 0.04
-#: Windows whose gains a worker remembers (some 100 bytes each).
-MEMORY = 1_000_000
+#: Gains that a worker remembers (9 bytes each), words that it knows by number (some 120 bytes each), words looked up at once.
+MEMORY, WORDS, AT_ONCE = 1 << 22, 800_000, 50_000
+#: Places of the memory that a window may be at.
+PLACES = 8
 HALVES = ("even", "odd")
 OTHER = dict(zip(HALVES, HALVES[::-1], strict=True))
 
 
+def words(text: str | None) -> list[bytes]:
+    """All words of a text in lower case, filled up with empty ones to whole windows."""
+    out = (text or "").lower().encode("utf-8").split()
+    if max(map(len, out), default=0) > WORD_BYTES:
+        out = [w[i : i + WORD_BYTES] for w in out for i in range(0, len(w), WORD_BYTES)]
+    return out + [b""] * (len(out) % 2 if out else 2)
+
+
+def window(first: bytes, second: bytes) -> bytes:
+    return b" %b %b " % (first, second) if second else b" %b " % first
+
+
 def windows(text: str | None) -> list[bytes]:
     """All windows of a text in lower case."""
-    words = (text or "").lower().encode("utf-8").split()
-    if max(map(len, words), default=0) > WORD_BYTES:
-        words = [w[i : i + WORD_BYTES] for w in words for i in range(0, len(w), WORD_BYTES)]
-    return [b" " + b" ".join(words[i : i + WINDOW_WORDS]) + b" " for i in range(0, max(1, len(words)), WINDOW_WORDS)]
+    own = words(text)
+    return list(map(window, own[::2], own[1::2]))
 
 
 def shuffled(text: str) -> tuple[int, str]:
@@ -117,44 +130,117 @@ def coder(dictionary: bytes) -> Coder:
     return _READY[dictionary]
 
 
+class Numbers:
+    """Numbers of words, from 1 up (0: the empty word); no number is given twice, words not met for long get a new one."""
+
+    def __init__(self):
+        self.new, self.old, self.next = {b"": 0}, {}, 1
+
+    def of(self, text: list[bytes]) -> np.ndarray:
+        out = np.fromiter(map(self.new.get, text, repeat(-1)), np.int64, len(text))
+        for i in np.flatnonzero(out < 0).tolist():
+            word = text[i]
+            number = self.new.get(word)
+            if number is None:
+                number = self.old.get(word)
+                if number is None:
+                    number, self.next = self.next, self.next + 1
+                self.new[word] = number
+            out[i] = number
+        if len(self.new) > WORDS // 2:
+            self.new, self.old = {b"": 0}, self.new
+        return out
+
+
+class Memory:
+    """Small numbers by keys above 0, each at one of ``PLACES`` places from its hash on; where all are taken the new one displaces another."""
+
+    def __init__(self, size: int):
+        self.keys, self.values, self.shift = np.zeros(size + PLACES, np.uint64), np.zeros(size + PLACES, np.int8), np.uint64(65 - size.bit_length())
+
+    def home(self, keys: np.ndarray) -> np.ndarray:
+        mixed = (keys ^ (keys >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values, and the indices of keys that aren't there."""
+        out, todo, at = np.zeros(len(keys), np.int64), np.arange(len(keys)), self.home(keys)
+        for _ in range(PLACES):
+            hit = self.keys[at] == keys[todo]
+            out[todo[hit]] = self.values[at[hit]]
+            todo, at = todo[~hit], at[~hit] + 1
+            if not len(todo):
+                break
+        return out, todo
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Of different keys that aren't there."""
+        at = self.home(keys)
+        last = at + (keys % np.uint64(PLACES)).astype(np.int64)
+        for k in range(PLACES + 1):
+            free = np.flatnonzero(self.keys[at] == 0) if k < PLACES else np.arange(len(keys))
+            at = at if k < PLACES else last
+            self.keys[at[free]] = keys[free]
+            here = self.keys[at] == keys  # of keys at one place one stays
+            self.values[at[here]] = values[here]
+            keys, values, at, last = keys[~here], values[~here], at[~here] + 1, last[~here]
+
+
 class Scale:
-    """Gains of windows by a pair of dictionaries; those of up to ``MEMORY`` windows are remembered."""
+    """Gains of windows by a pair of dictionaries; a memory saves compressing most windows that were met before.
+
+    Windows are remembered by the numbers of their two words, so no two are ever taken for one.
+    """
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        self.ordinary, self.toxic, self.known = coder(ordinary), coder(toxic), {}
-
-    def gains(self, parts: list[bytes]) -> np.ndarray:
-        """Bytes that the toxic dictionary saves on each window, ``NONE`` where it needs over ``DEAR``."""
-        known = self.known
-        out = list(map(known.get, parts))
-        if None not in out:
-            return np.array(out, np.int64)
-        if len(known) + len(parts) > MEMORY:
-            known.clear()
-            out = [None] * len(parts)
-        new = list({w for w, g in zip(parts, out, strict=True) if g is None})
-        cost = self.toxic.sizes(new)
-        near = np.flatnonzero(cost <= DEAR)
-        gain = np.full(len(new), NONE, np.int64)
-        gain[near] = self.ordinary.sizes([new[i] for i in near]) - cost[near]
-        known.update(zip(new, gain.tolist(), strict=True))
-        return np.array(list(map(known.__getitem__, parts)), np.int64)
+        self.ordinary, self.toxic, self.numbers, self.memory = coder(ordinary), coder(toxic), Numbers(), Memory(MEMORY)
+
+    def gains(self, text: list[bytes]) -> np.ndarray:
+        """Bytes that the toxic dictionary saves on each window of ``words``, ``NONE`` where it needs over ``DEAR``."""
+        if self.numbers.next + len(text) >= 1 << 32:
+            self.numbers, self.memory = Numbers(), Memory(MEMORY)
+        pairs = self.numbers.of(text).astype(np.uint64).reshape(-1, 2)
+        keys = (pairs[:, 0] << np.uint64(32) | pairs[:, 1]) + np.uint64(1)
+        out, missing = self.memory.get(keys)
+        if len(missing):
+            new, first, same = np.unique(keys[missing], return_index=True, return_inverse=True)
+            at = missing[first].tolist()
+            parts = list(map(window, map(text[::2].__getitem__, at), map(text[1::2].__getitem__, at)))
+            cost = self.toxic.sizes(parts)
+            near = np.flatnonzero(cost <= DEAR)
+            gain = np.full(len(new), NONE, np.int64)
+            gain[near] = self.ordinary.sizes([parts[i] for i in near]) - cost[near]
+            self.memory.put(new, gain)
+            out[missing] = gain[same]
+        return out
 
 
 _PAIRS: dict[tuple[bytes, bytes], Scale] = {}
 
 
-def gains(parts: list[bytes], ordinary: bytes, toxic: bytes) -> np.ndarray:
+def gains(text: list[bytes], ordinary: bytes, toxic: bytes) -> np.ndarray:
     if (ordinary, toxic) not in _PAIRS:
         while len(_PAIRS) > 1:
             _PAIRS.pop(next(iter(_PAIRS)))
         _PAIRS[ordinary, toxic] = Scale(ordinary, toxic)
-    return _PAIRS[ordinary, toxic].gains(parts)
+    return _PAIRS[ordinary, toxic].gains(text)
+
+
+def texts_gains(texts: list[str | None], ordinary: bytes, toxic: bytes) -> Iterator[np.ndarray]:
+    """Gains of each text; those of short ones are looked up together."""
+    some: list[bytes] = []
+    ends: list[int] = []
+    for k, text in enumerate(texts, 1):
+        some += words(text)
+        ends.append(len(some) // 2)
+        if len(some) > AT_ONCE or k == len(texts):
+            yield from np.split(gains(some, ordinary, toxic), ends[:-1])
+            some, ends = [], []
 
 
-def features(text: str | None, ordinary: bytes, toxic: bytes, zero: int) -> list[float]:
+def features(g: np.ndarray, zero: int) -> list[float]:
     """Of a text's gains above ``zero``."""
-    g = np.sort(np.maximum(gains(windows(text), ordinary, toxic) - zero, 0))[::-1]
+    g = np.sort(np.maximum(g - zero, 0))[::-1]
     over = np.searchsorted(-g, -np.arange(1, 9), "right")
     return [g[0], g[:3].mean(), g[:8].mean(), g.mean(), *(over / len(g)), *np.log1p(over), np.log(len(g))]
 
@@ -175,7 +261,7 @@ class Model:
     quiet: float
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        x = np.array([features(t, self.ordinary, self.toxic, self.zero) for t in texts], float).reshape(-1, N_FEATURES)
+        x = np.array([features(g, self.zero) for g in texts_gains(texts, self.ordinary, self.toxic)], float).reshape(-1, N_FEATURES)
         z = (np.clip(x, self.low, self.high) - self.mean) / self.spread
         s = 1 / (1 + np.exp(-np.clip((z * self.weights[:-1]).sum(axis=1) + self.weights[-1], -30, 30)))
         return np.where(x[:, 0] > 0, s, self.quiet)
@@ -199,10 +285,11 @@ def chosen_windows(rows: DataFrame, ordinary: bytes, toxic: dict[str, bytes]) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text, part in zip(batch.column("text").to_pylist(), batch.column("part").to_pylist(), strict=True):
-                parts = windows(text)
-                for half in HALVES if part == "reserved" else [part]:
-                    g = np.clip(gains(parts, ordinary, toxic[OTHER[half]]), 0, TOP)
+            texts, of = batch.column("text").to_pylist(), batch.column("part").to_pylist()
+            for half in HALVES:
+                some = [k for k, part in enumerate(of) if part in (half, "reserved")]
+                for k, g in zip(some, texts_gains([texts[k] for k in some], ordinary, toxic[OTHER[half]]), strict=True):
+                    part, parts, g = of[k], windows(texts[k]) if of[k] == half else [], np.clip(g, 0, TOP)
                     hot = np.flatnonzero(g) if part == half else []
                     row = (half, np.bincount(g, minlength=TOP + 1).tolist(), [parts[i] for i in hot] if part == half else None, [int(g[i]) for i in hot])
                     for column, value in zip(out, row, strict=True):
@@ -231,10 +318,9 @@ def zeros(rows: DataFrame, ordinary: bytes, toxic: dict[str, bytes]) -> dict[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = {name: np.zeros(TOP - NONE + 1, np.int64) for name in toxic}
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                parts = windows(text)
-                for name, own in toxic.items():
-                    counts[name] += np.bincount(np.clip(gains(parts, ordinary, own), NONE, TOP) - NONE, minlength=TOP - NONE + 1)
+            for name, own in toxic.items():
+                for g in texts_gains(batch.column("text").to_pylist(), ordinary, own):
+                    counts[name] += np.bincount(np.clip(g, NONE, TOP) - NONE, minlength=TOP - NONE + 1)
         yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array([c.tolist() for c in counts.values()], pa.list_(pa.int64()))], ["name", "counts"])
 
     got = rows.filter("part = 'reserved'").mapInArrow(run, "name string, counts array<bigint>").collect()
@@ -252,10 +338,11 @@ def calibration_rows(rows: DataFrame, ordinary: bytes, toxic: dict[str, bytes],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = [], []
-            for text, part in zip(batch.column("text").to_pylist(), batch.column("part").to_pylist(), strict=True):
-                name = "final" if part == "reserved" else OTHER[part]
-                x.append(features(text, ordinary, toxic[name], zero[name]))
-                y.append(int(part != "reserved"))
+            texts, of = batch.column("text").to_pylist(), batch.column("part").to_pylist()
+            for name in sorted(toxic):
+                some = [t for t, part in zip(texts, of, strict=True) if name == ("final" if part == "reserved" else OTHER[part])]
+                x += [features(g, zero[name]) for g in texts_gains(some, ordinary, toxic[name])]
+                y += [int(name != "final")] * len(some)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32())], ["x", "label"])
 
     got = rows.mapInArrow(run, "x array<double>, label int").toArrow()

@@ -4,10 +4,12 @@ import random
 import zlib
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from postroom.llm import toxicity
 from postroom.llm.quality import classify_quality, labelled
 from postroom.llm.toxicity import classify_toxicity, fit, reject_toxic, windows
 
@@ -112,3 +114,51 @@ def test_windows_hold_the_whole_text():
     text = "Aa b" + "x" * 100 + " é ß\n\tend"
     assert b"".join(b"".join(windows(text)).split()) == "".join(text.lower().split()).encode()
     assert windows(None) == windows(" ") == [b"  "]
+
+
+class Counted:
+    """In place of a coder: a size made of the window's bytes, and how many were asked for."""
+
+    def __init__(self, dictionary):
+        self.dictionary, self.asked = dictionary, 0
+
+    def sizes(self, parts):
+        self.asked += len(parts)
+        return np.array([zlib.crc32(self.dictionary + w) % 20 for w in parts], np.int64)
+
+
+def stub_model(monkeypatch):
+    coders = {}
+    monkeypatch.setattr(toxicity, "coder", lambda d: coders.setdefault(d, Counted(d)))
+    monkeypatch.setattr(toxicity, "_PAIRS", {})
+    n = toxicity.N_FEATURES
+    flat, one = np.zeros(n), np.ones(n)
+    return toxicity.Model(b"plain", b"toxic", 0, flat, one * 99, flat, one, np.linspace(-1, 1, n + 1) / 20, 0.25), coders
+
+
+def test_windows_met_before_are_not_compressed_again(monkeypatch):
+    model, coders = stub_model(monkeypatch)
+    texts = [" ".join(f"w{i % 2000} v{i // 2000}" for i in range(k, k + 50_000)) for k in range(0, 1_200_000, 50_000)]
+    first = model.score(texts)
+    asked = coders[b"toxic"].asked
+    assert asked == 1_200_000
+    assert (model.score(texts) == first).all()
+    assert coders[b"toxic"].asked - asked < 0.01 * asked
+
+
+def test_a_full_memory_changes_no_score(monkeypatch):
+    model, _ = stub_model(monkeypatch)
+    rng = random.Random(5)
+    texts = [None, "", "Aa", "a " * 999, "x" * 100] + [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(300))) for _ in range(200)]
+    want = model.score(texts)
+    cost, plain = Counted(b"toxic"), Counted(b"plain")
+    for text, x in zip(texts, toxicity.texts_gains(texts, b"plain", b"toxic"), strict=True):
+        c = cost.sizes(windows(text))
+        assert (x == np.where(c <= toxicity.DEAR, plain.sizes(windows(text)) - c, toxicity.NONE)).all()
+    for memory, words, at_once in ((16, 20, 50), (256, 40, 1), (1024, 1000, 10_000)):
+        monkeypatch.setattr(toxicity, "_PAIRS", {})
+        for name, value in (("MEMORY", memory), ("WORDS", words), ("AT_ONCE", at_once)):
+            monkeypatch.setattr(toxicity, name, value)
+        for some in (texts, texts[::-1]):
+            got = model.score(some)
+            assert (got == (want if some is texts else want[::-1])).all()
